@@ -1,0 +1,56 @@
+"""Joins that stay balanced when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+MAX_HOT_KEYS = 256        # upper bound of the broadcast list
+MIN_HOT_ROWS = 1_000_000  # smaller groups fit one task as they are
+SALTS = 64
+
+
+def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """Hashes of the keys with at least ``min_rows`` rows; never more than MAX_HOT_KEYS.
+
+    A frequent-items sketch finds them in one pass without a shuffle of the keys. The list only
+    steers the layout of a join: a missed or extra key changes no result.
+    """
+    hashed = df.select(F.xxhash64(*keys).alias("key_hash"))
+    top = hashed.agg(F.approx_top_k("key_hash", F.lit(MAX_HOT_KEYS), F.lit(16384)).alias("top"))
+    return (top.select(F.inline("top"))
+            .filter(F.col("count") >= min_rows)
+            .select(F.col("item").alias("hot_hash")))
+
+
+def hot_keys_by_count(counts: DataFrame, keys: list[str], rows: str,
+                      min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """The same list from a table that already knows the rows per key."""
+    return (counts.filter(F.col(rows) >= min_rows)
+            .groupBy(F.xxhash64(*keys).alias("hot_hash")).agg(F.max(rows).alias("rows"))
+            .orderBy(F.desc("rows")).limit(MAX_HOT_KEYS).select("hot_hash"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
+                spread: list[str], hot: DataFrame | None = None,
+                min_rows: int = MIN_HOT_ROWS, salts: int = SALTS) -> DataFrame:
+    """Equi-join where hot keys of ``left`` are spread over ``salts`` tasks.
+
+    Rows of a hot key get a salt from the hash of the ``spread`` columns; the matching rows of
+    ``right`` (few per key) are repeated once per salt. All other rows join as usual. ``how`` is
+    "inner", "left", "left_semi" or "left_anti": ``right`` rows without partner are not wanted.
+    ``hot`` is the result of ``hot_keys`` or ``hot_keys_by_count``, at most MAX_HOT_KEYS rows.
+    """
+    hot = F.broadcast(hot_keys(left, keys, min_rows) if hot is None else hot)
+    salt = F.when(F.col("hot_hash").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(salts))) \
+        .otherwise(F.lit(0).cast("bigint"))
+    copies = F.when(F.col("hot_hash").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))) \
+        .otherwise(F.array(F.lit(0)))
+    key_hash = F.xxhash64(*keys)
+    salted_left = (left.withColumn("key_hash", key_hash)
+                   .join(hot, F.col("key_hash") == F.col("hot_hash"), "left")
+                   .withColumn("salt", salt).drop("key_hash", "hot_hash"))
+    salted_right = (right.withColumn("key_hash", key_hash)
+                    .join(hot, F.col("key_hash") == F.col("hot_hash"), "left")
+                    .withColumn("salt", F.explode(copies).cast("bigint"))
+                    .drop("key_hash", "hot_hash"))
+    return salted_left.join(salted_right, [*keys, "salt"], how).drop("salt")
