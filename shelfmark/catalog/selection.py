@@ -184,8 +184,9 @@ def topk_reviews(spark: SparkSession, sf: str) -> DataFrame:
 _TOPK_REVIEWS = f"""
 WITH {LINE_REVIEWS}
 SELECT parent_asin, (row_number() OVER w)::INTEGER AS rank, helpful_vote, l_orderkey, l_linenumber
-FROM reviews QUALIFY rank <= 5
-WINDOW w AS (PARTITION BY parent_asin ORDER BY helpful_vote DESC, l_orderkey, l_linenumber)
+FROM reviews WINDOW w AS (PARTITION BY parent_asin
+  ORDER BY helpful_vote DESC, l_orderkey, l_linenumber)
+QUALIFY rank <= 5
 """
 
 

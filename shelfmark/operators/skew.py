@@ -16,7 +16,8 @@ def hot_keys(df: DataFrame, keys: list[str], min_rows: int = MIN_HOT_ROWS) -> Da
     steers the layout of a join: a missed or extra key changes no result.
     """
     hashed = df.select(F.xxhash64(*keys).alias("key_hash"))
-    top = hashed.agg(F.approx_top_k("key_hash", F.lit(MAX_HOT_KEYS), F.lit(16384)).alias("top"))
+    top = hashed.agg(F.call_function("approx_top_k", F.col("key_hash"), F.lit(MAX_HOT_KEYS),
+                                     F.lit(16384)).alias("top"))
     return (top.select(F.inline("top"))
             .filter(F.col("count") >= min_rows)
             .select(F.col("item").alias("hot_hash")))
@@ -41,16 +42,17 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
     ``hot`` is the result of ``hot_keys`` or ``hot_keys_by_count``, at most MAX_HOT_KEYS rows.
     """
     hot = F.broadcast(hot_keys(left, keys, min_rows) if hot is None else hot)
+    zero = F.lit(0).cast("bigint")
     salt = F.when(F.col("hot_hash").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(salts))) \
-        .otherwise(F.lit(0).cast("bigint"))
-    copies = F.when(F.col("hot_hash").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))) \
-        .otherwise(F.array(F.lit(0)))
+        .otherwise(zero)
+    copies = F.when(F.col("hot_hash").isNotNull(), F.sequence(zero, zero + salts - 1)) \
+        .otherwise(F.array(zero))
     key_hash = F.xxhash64(*keys)
     salted_left = (left.withColumn("key_hash", key_hash)
                    .join(hot, F.col("key_hash") == F.col("hot_hash"), "left")
                    .withColumn("salt", salt).drop("key_hash", "hot_hash"))
     salted_right = (right.withColumn("key_hash", key_hash)
                     .join(hot, F.col("key_hash") == F.col("hot_hash"), "left")
-                    .withColumn("salt", F.explode(copies).cast("bigint"))
+                    .withColumn("salt", F.explode(copies))
                     .drop("key_hash", "hot_hash"))
     return salted_left.join(salted_right, [*keys, "salt"], how).drop("salt")
