@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.catalog.standins import (JUDGED, LINE_REVIEWS, PRODUCTS, judged, line_reviews,
-                                        products, table)
+                                        products, table, texts)
 from shelfmark.functions.clean import is_empty
 from shelfmark.operators import selection as sel
 from shelfmark.operators.embedding import top_reviews
@@ -218,23 +218,24 @@ FROM part GROUP BY 1
 
 def english(spark: SparkSession, sf: str) -> DataFrame:
     """Profiles from the labelled documents, applied to all conversation texts."""
-    profiles = stage(train_profiles(table(spark, sf, "documents")), "profiles")
-    texts = table(spark, sf, "conversations").select(
+    profiles = stage(train_profiles(texts(spark, sf, "documents")), "profiles")
+    asked = texts(spark, sf, "conversations").select(
         F.struct("conv_id", "turn").alias("id"), "text")
-    return with_english(texts, "id", "text", profiles).select(
+    return with_english(asked, "id", "text", profiles).select(
         "id.conv_id", "id.turn", "is_english")
 
 
 _GRAMS = """
-  SELECT {key}, substring(t, i, n) AS gram FROM (
-    SELECT {key}, ' ' || trim(regexp_replace(lower({text}), '[^\\p{{L}}]+', ' ', 'g')) || ' ' AS t
-    FROM {table}), generate_series(1, 3) AS s(n), LATERAL (
-    SELECT unnest(generate_series(1, length(t) - n + 1)) AS i)
-  WHERE trim(t) <> '' AND substring(t, i, n) <> ' '"""
+  SELECT {key}, unnest([c, c || d, c || d || e]) AS gram FROM (
+    SELECT {key}, c, lead(c, 1) OVER w AS d, lead(c, 2) OVER w AS e FROM (
+      SELECT {key}, generate_subscripts(l, 1) AS i, unnest(l) AS c FROM (
+        SELECT {key}, string_split(' ' || trim(regexp_replace(lower({text}), '[^\\p{{L}}]+', ' ',
+          'g')) || ' ', '') AS l FROM {table}) WHERE len(l) > 2)
+    WINDOW w AS (PARTITION BY {key} ORDER BY i))"""
 
 _ENGLISH = f"""
 WITH train AS MATERIALIZED ({_GRAMS.format(key='doc_id, lang', text='text', table='documents')}),
-counts AS (SELECT lang, gram, count(*) AS n FROM train GROUP BY ALL),
+counts AS (SELECT lang, gram, count(*) AS n FROM train WHERE gram <> ' ' GROUP BY ALL),
 totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY 1),
 profile AS (SELECT lang, gram, round(ln(n / total) * 1000)::BIGINT + 14000 AS gain
   FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM counts)

@@ -7,11 +7,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfmark.session import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table with long texts, spread over the cores."""
+    return spread(table(spark, sf, name))
+
+
 def products(spark: SparkSession, sf: str) -> DataFrame:
     """``part`` as the product table."""
     text = lambda c: F.col(c).cast("string")
@@ -78,7 +85,7 @@ LINE_REVIEWS = """reviews AS (
 
 def text_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """``conversations`` as review texts; the turn counts as votes."""
-    return table(spark, sf, "conversations").select(
+    return texts(spark, sf, "conversations").select(
         F.concat(F.lit("P"), F.col("conv_id").cast("string")).alias("parent_asin"),
         F.col("turn").alias("helpful_vote"), F.col("role").alias("review_title"),
         F.col("text").alias("review_text"))
@@ -92,7 +99,7 @@ TEXT_REVIEWS = """reviews AS (
 
 def text_products(spark: SparkSession, sf: str) -> DataFrame:
     """``documents`` as products whose key is shared by all texts of a source."""
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents").select(
         F.col("doc_id").alias("product_id"), F.col("source").alias("parent_asin"),
         F.col("text").alias("product_title"),
         F.to_json(F.array("text")).alias("features_json"))
@@ -104,5 +111,4 @@ TEXT_PRODUCTS = """products AS (
   FROM documents)"""
 
 # Search tokens of a text, as SQL; {} is the column.
-SQL_TOKENS = ("list_filter(regexp_split_to_array(strip_accents(lower({})), "
-              "'[^\\p{{L}}\\p{{N}}]+'), t -> t <> '')")
+SQL_TOKENS = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}]+')"

@@ -11,7 +11,7 @@ _SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Characters between search tokens: everything but letters, numbers and private-use characters.
 TOKEN_BREAK = r"[^\p{L}\p{N}\p{Co}]+"
-_COMBINING = r"[\u0300-\u036f]+"
+_COMBINING = "".join(chr(c) for c in range(0x0300, 0x0370))
 
 
 def _latin_folds() -> tuple[str, str]:
@@ -37,7 +37,8 @@ def strip(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case without Latin diacritics, whether composed or combining."""
-    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), _COMBINING, "")
+    # Characters without a counterpart in the replacement are dropped.
+    return F.translate(F.lower(text), _MARKED + _COMBINING, _PLAIN)
 
 
 def tokens(text: Column) -> Column:
@@ -45,13 +46,15 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(fold(text), TOKEN_BREAK), "")
 
 
+NO_TOKENS = "  "   # the padded form of a text without any token
+
+
 def padded(token_array: Column) -> Column:
-    """Tokens joined by single spaces with a space at both ends; NULL without any token.
+    """Tokens joined by single spaces with a space at both ends.
 
     Two padded texts turn a phrase match on whole tokens into a plain ``contains``.
     """
-    return F.when(F.size(token_array) > 0,
-                  F.concat(F.lit(" "), F.array_join(token_array, " "), F.lit(" ")))
+    return F.concat(F.lit(" "), F.array_join(token_array, " "), F.lit(" "))
 
 
 def padded_tokens(padded_text: Column) -> Column:
@@ -60,10 +63,14 @@ def padded_tokens(padded_text: Column) -> Column:
 
 
 def bigrams(token_array: Column) -> Column:
-    """Adjacent token pairs, each as ``"a b"``."""
-    firsts = F.slice(token_array, F.lit(1), F.greatest(F.size(token_array) - 1, F.lit(0)))
-    return F.transform(firsts, lambda token, i: F.concat(token, F.lit(" "),
-                                                         F.get(token_array, i + 1)))
+    """Adjacent token pairs, each as ``"a b"``.
+
+    Both sides are slices, because a lambda that refers to the whole array would build it again
+    for every element.
+    """
+    rest = F.greatest(F.size(token_array) - 1, F.lit(0))
+    return F.zip_with(F.slice(token_array, F.lit(1), rest), F.slice(token_array, F.lit(2), rest),
+                      lambda a, b: F.concat(a, F.lit(" "), b))
 
 
 def is_json(text: Column) -> Column:

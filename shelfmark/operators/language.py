@@ -24,21 +24,27 @@ def letters_only(text: Column) -> Column:
     return F.when(words != "", F.concat(F.lit(" "), words, F.lit(" ")))
 
 
-def char_grams(text: Column) -> Column:
-    """All character groups of length 1 to 3, the lone space left out."""
-    chars = F.split(text, "")
-    pairs = F.transform(chars, lambda c, i: F.concat(c, F.get(chars, i + 1)))
-    triples = F.transform(chars, lambda c, i: F.concat(c, F.get(chars, i + 1),
-                                                       F.get(chars, i + 2)))
-    every = F.concat(chars, pairs, triples)
-    return F.filter(every, lambda g: g.isNotNull() & (g != " "))
+def char_grams(chars: Column) -> Column:
+    """All groups of 1 to 3 neighbours in an array of characters, the lone space left out."""
+    size = F.size(chars)
+    join = lambda a, b: F.concat(a, b)
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), size), join)
+    triples = F.zip_with(pairs, F.slice(chars, F.lit(3), size), join)
+    return F.filter(F.concat(chars, pairs, triples), lambda g: g.isNotNull() & (g != " "))
+
+
+def _cut(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``(keep..., gram)``; letters and characters are columns of their own, built once per text."""
+    return (df.select(*keep, letters_only(F.col(text)).alias("letters"))
+            .filter(F.col("letters").isNotNull())
+            .select(*keep, F.split("letters", "").alias("chars"))
+            .select(*keep, F.explode(char_grams(F.col("chars"))).alias("gram")))
 
 
 def train_profiles(samples: DataFrame, text: str = "text", lang: str = "lang",
                    grams_per_language: int = PROFILE_GRAMS) -> DataFrame:
     """``(lang, gram, weight)`` from labelled texts: the most frequent groups of each language."""
-    grams = samples.select(F.col(lang).alias("lang"),
-                           F.explode(char_grams(letters_only(F.col(text)))).alias("gram"))
+    grams = _cut(samples.withColumnRenamed(lang, "lang"), ["lang"], text)
     counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -65,9 +71,8 @@ def detect_language(df: DataFrame, profiles: DataFrame, key: str, text: str) ->
     # One row per group with the weights of all languages, so that a group joins once.
     per_gram = profiles.groupBy("gram").agg(
         F.collect_list(F.struct("lang", F.col("weight") - MISSING_WEIGHT)).alias("gains"))
-    cut = df.select(F.col(key), F.explode(char_grams(letters_only(F.col(text)))).alias("gram"))
     # The same penalty for every group cancels out, so only the gain over it is summed.
-    gains = (cut.join(F.broadcast(per_gram), "gram")
+    gains = (_cut(df, [key], text).join(F.broadcast(per_gram), "gram")
              .select(key, F.inline("gains").alias("lang", "gain"))
              .groupBy(key, "lang").agg(F.sum("gain").alias("score")))
     best = gains.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("rank"), "lang"))
