@@ -1,2 +1,131 @@
-QUERIES = {}
-SQL = {}
+"""Duplicate-key audits: documents by source, key = digest of the text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from shelfmark.catalog.standins import table
+from shelfmark.operators import audit as dup
+from shelfmark.session import new_folder, stage
+from shelfmark.sources.tables import read_key_column, read_table, write_csv
+
+
+def _keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of source files; rows in French lack the key."""
+    return table(spark, sf, "documents").select(
+        F.col("source").alias("file"),
+        F.when(F.col("lang") != "fr", F.md5(F.col("text").cast("binary"))).alias("key"))
+
+
+_KEYS = """keys AS (SELECT source AS file, CASE WHEN lang <> 'fr' THEN md5(text) END AS key
+  FROM documents),
+counts AS (SELECT file, key, count(*) AS n FROM keys WHERE key IS NOT NULL GROUP BY ALL)"""
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    """D1."""
+    return dup.file_stats(_keys(spark, sf))
+
+
+_FILES = f"""
+WITH {_KEYS}
+SELECT file, count(key) AS rows_with_key, count(*) - count(key) AS rows_missing_key,
+  (SELECT count(*) FROM counts c WHERE c.file = keys.file AND n > 1) AS duplicate_keys
+FROM keys GROUP BY file
+"""
+
+
+def cross(spark: SparkSession, sf: str) -> DataFrame:
+    """D2, A5."""
+    return dup.cross_file(dup.key_counts(_keys(spark, sf)))
+
+
+_CROSS_CTE = """across AS (SELECT key, count(*) AS n_files, sum(n)::BIGINT AS n_rows,
+  string_agg(file, ';' ORDER BY file) AS files,
+  string_agg(file || ':' || n, ';' ORDER BY file) AS counts_by_file
+  FROM counts GROUP BY key HAVING count(*) >= 2)"""
+
+_CROSS = f"WITH {_KEYS}, {_CROSS_CTE} SELECT * FROM across"
+
+
+def within(spark: SparkSession, sf: str) -> DataFrame:
+    """D3, A4."""
+    return dup.within_file(dup.key_counts(_keys(spark, sf)))
+
+
+_WITHIN = f"WITH {_KEYS} SELECT file, key, n FROM counts WHERE n > 1"
+
+
+def report(spark: SparkSession, sf: str) -> DataFrame:
+    """The report written as CSV and read back."""
+    folder = new_folder(spark, "report")
+    dup.write_report(dup.duplicate_report(dup.key_counts(_keys(spark, sf))), folder)
+    return spark.read.csv(folder, header=True)
+
+
+_REPORT = f"""
+WITH {_KEYS}, {_CROSS_CTE}
+SELECT 'cross_file' AS section, key AS product_id, files, counts_by_file FROM across
+UNION ALL SELECT 'within_file', key, file, n::VARCHAR FROM counts WHERE n > 1
+"""
+
+
+def summary(spark: SparkSession, sf: str) -> DataFrame:
+    """D5."""
+    return dup.summary(_keys(spark, sf))
+
+
+_SUMMARY = f"""
+WITH {_KEYS}, {_CROSS_CTE}
+SELECT (SELECT count(DISTINCT file) FROM keys) AS files, (SELECT count(*) FROM keys) AS total_rows,
+  (SELECT count(DISTINCT key) FROM counts) AS unique_keys,
+  (SELECT count(*) FROM across) AS cross_file_keys,
+  (SELECT count(*) FROM counts WHERE n > 1) AS within_file_keys
+"""
+
+
+def examples(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten cross-file keys."""
+    return dup.cross_file_examples(dup.key_counts(_keys(spark, sf)), 10)
+
+
+_EXAMPLES = f"WITH {_KEYS}, {_CROSS_CTE} SELECT * FROM across ORDER BY key LIMIT 10"
+
+
+def scanned(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys read by column name from CSV with a found delimiter, blanks counted as missing."""
+    folder = new_folder(spark, "keys-csv")
+    write_csv(_keys(spark, sf).select("file", F.concat(F.lit(" "), "key").alias("id")), folder)
+    keys = read_key_column(spark, folder, "id", require_key=True)
+    return keys.agg(F.count(F.lit(1)).alias("rows"), F.count("key").alias("with_key"),
+                    F.count_distinct("key").alias("unique_keys"))
+
+
+_SCANNED = f"""
+WITH {_KEYS}
+SELECT count(*) AS rows, count(key) AS with_key, count(DISTINCT key) AS unique_keys FROM keys
+"""
+
+
+def union_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One table per source, read as one."""
+    folder = new_folder(spark, "sources")
+    table(spark, sf, "documents").select("doc_id", "lang", "source").write.partitionBy(
+        "source").parquet(folder)
+    whole = stage(read_table(spark, folder), "whole")
+    return whole.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+_UNION_FILES = "SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL"
+
+QUERIES = {
+    "q_dup_files": files, "q_dup_cross": cross, "q_dup_within": within, "q_dup_report": report,
+    "q_dup_summary": summary, "q_dup_examples": examples, "q_key_scan": scanned,
+    "q_union_files": union_files,
+}
+
+SQL = {
+    "q_dup_files": _FILES, "q_dup_cross": _CROSS, "q_dup_within": _WITHIN,
+    "q_dup_report": _REPORT, "q_dup_summary": _SUMMARY, "q_dup_examples": _EXAMPLES,
+    "q_key_scan": _SCANNED, "q_union_files": _UNION_FILES,
+}

@@ -1,2 +1,166 @@
-QUERIES = {}
-SQL = {}
+"""Tokens, postings, phrases, JSON leaves and entities."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from shelfmark.catalog.filters import _sql_entities, _sql_phrase
+from shelfmark.catalog.standins import PRODUCTS, SQL_TOKENS, products, table, texts
+from shelfmark.functions.text import (NO_TOKENS, entity_phrases, json_leaves, padded, strip,
+                                      tokens)
+from shelfmark.operators.phrases import phrase_counts, phrase_matches, postings, search_bodies, \
+    token_stats
+from shelfmark.session import new_folder, stage
+from shelfmark.sources.tables import write_table
+
+
+def token_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Number of search tokens and their digest per document."""
+    toks = texts(spark, sf, "documents").select("doc_id", tokens(F.col("text")).alias("t"))
+    return toks.select("doc_id", F.size("t").cast("bigint").alias("n"),
+                       F.md5(F.array_join("t", "|").cast("binary")).alias("digest"))
+
+
+_TOKEN_LISTS = f"""
+SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, '|')) AS digest
+FROM (SELECT doc_id, {SQL_TOKENS.format('text')} AS t FROM documents)
+"""
+
+
+def _document_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return search_bodies(texts(spark, sf, "documents"), "doc_id", ["text"])
+
+
+def index(spark: SparkSession, sf: str) -> DataFrame:
+    """The inverted index, written by field and read back, with documents per token."""
+    written = write_table(postings(_document_bodies(spark, sf)), new_folder(spark, "postings"),
+                          partition_by=["field"])
+    return token_stats(written)
+
+
+_INDEX = f"""
+SELECT 'text' AS field, token, count(DISTINCT doc_id) AS documents, count(*) AS occurrences
+FROM (SELECT doc_id, unnest({SQL_TOKENS.format('text')}) AS token FROM documents) GROUP BY token
+"""
+
+
+def posting_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All positions of the index over the benchmark passages."""
+    bodies = search_bodies(texts(spark, sf, "benchmark"), "item_id", ["text"])
+    return postings(bodies)
+
+
+_POSTING_ROWS = f"""
+SELECT 'text' AS field, token, item_id AS row_id, (i - 1)::INTEGER AS pos FROM (
+  SELECT item_id, unnest(t) AS token, generate_subscripts(t, 1) AS i
+  FROM (SELECT item_id, {SQL_TOKENS.format('text')} AS t FROM benchmark))
+"""
+
+
+def _passages(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole passage and every sentence of the benchmark as a phrase."""
+    rows = texts(spark, sf, "benchmark")
+    sentences = F.split("text", r"[.!?\n]+")
+    listed = rows.select(F.explode(F.concat(F.array("text"), sentences)).alias("raw"))
+    return (listed.select(F.lit("text").alias("field"), padded(tokens(F.col("raw")))
+                          .alias("phrase"))
+            .filter(F.col("phrase") != NO_TOKENS).distinct())
+
+
+_PASSAGES = f"""phrases AS (SELECT DISTINCT phrase FROM (
+  SELECT {_sql_phrase('raw')} AS phrase FROM (
+    SELECT text AS raw FROM benchmark
+    UNION ALL SELECT unnest(regexp_split_to_array(text, '[.!?\\n]+')) FROM benchmark))
+  WHERE phrase <> '  '),
+bodies AS (SELECT doc_id, {_sql_phrase('text')} AS body FROM documents)"""
+
+
+def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a benchmark passage or sentence."""
+    bodies = stage(_document_bodies(spark, sf), "bodies")
+    found = phrase_matches(bodies, stage(_passages(spark, sf), "phrases"))
+    return found.select(F.md5(F.col("phrase").cast("binary")).alias("phrase_md5"),
+                        F.col("row_id").alias("doc_id"))
+
+
+_PHRASE_MATCH = f"""
+WITH {_PASSAGES}
+SELECT md5(phrase) AS phrase_md5, doc_id FROM phrases JOIN bodies ON contains(body, phrase)
+"""
+
+
+def phrase_count(spark: SparkSession, sf: str) -> DataFrame:
+    """T4: documents per passage or sentence, all phrases in one job."""
+    bodies = stage(_document_bodies(spark, sf), "bodies")
+    counts = phrase_counts(bodies, stage(_passages(spark, sf), "phrases"))
+    return counts.select(F.md5(F.col("phrase").cast("binary")).alias("phrase_md5"), "match_count")
+
+
+_PHRASE_COUNT = f"""
+WITH {_PASSAGES}
+SELECT md5(phrase) AS phrase_md5, count(*) AS match_count
+FROM phrases JOIN bodies ON contains(body, phrase) GROUP BY 1
+"""
+
+
+def leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """T5: scalar values of the nested product details, any depth, in text order."""
+    rows = products(spark, sf).select("product_id", json_leaves(F.col("details_json"))
+                                      .alias("leaves"))
+    return rows.select("product_id", F.posexplode("leaves").alias("pos", "leaf"))
+
+
+_JSON_LEAVES = f"""
+WITH {PRODUCTS}, interest AS (SELECT * FROM products),
+leaves AS (SELECT product_id, j.id AS place, CASE WHEN j.atom::VARCHAR = 'true' THEN 'True'
+    ELSE json_extract_string(j.atom, '$') END AS leaf
+  FROM interest, json_tree(details_json) j WHERE j.atom IS NOT NULL)
+SELECT product_id, (row_number() OVER (PARTITION BY product_id ORDER BY place) - 1)::INTEGER AS pos,
+  leaf FROM leaves
+"""
+
+
+def entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Entity phrases of every document, by the default rule."""
+    found = texts(spark, sf, "documents").select("doc_id", entity_phrases(F.col("text"))
+                                                 .alias("e"))
+    return found.select("doc_id", F.posexplode("e").alias("pos", "entity")).withColumn(
+        "entity", F.when(F.char_length("entity") <= 200, F.col("entity"))
+        .otherwise(F.md5(F.col("entity").cast("binary"))))
+
+
+_ENTITIES = f"""
+SELECT doc_id, (i - 1)::INTEGER AS pos,
+  CASE WHEN length(entity) <= 200 THEN entity ELSE md5(entity) END AS entity
+FROM (SELECT doc_id, unnest(e) AS entity, generate_subscripts(e, 1) AS i
+  FROM (SELECT doc_id, {_sql_entities('text')} AS e FROM documents))
+"""
+
+
+def stripped(spark: SparkSession, sf: str) -> DataFrame:
+    """Trim, case, replace, concatenate, extract."""
+    rows = table(spark, sf, "pages")
+    return rows.select(
+        "page_id", strip(F.concat(F.lit("\t \n"), F.col("url"), F.lit("  "))).alias("trimmed"),
+        F.upper("url").alias("upper"), F.replace("url", F.lit("http"), F.lit("")).alias("cut"),
+        F.regexp_extract("url", r"//([^/:?#]+)", 1).alias("host"),
+        F.concat_ws("|", "page_id", F.lower("url")).alias("joined"))
+
+
+_STRIPPED = """
+SELECT page_id, url AS trimmed, upper(url) AS upper, replace(url, 'http', '') AS cut,
+  regexp_extract(url, '//([^/:?#]+)', 1) AS host, page_id || '|' || lower(url) AS joined
+FROM pages
+"""
+
+QUERIES = {
+    "q_tokens": token_lists, "q_index": index, "q_postings": posting_rows,
+    "q_phrase_match": phrase_match, "q_phrase_count": phrase_count, "q_json_leaves": leaves,
+    "q_entities": entities, "q_text_functions": stripped,
+}
+
+SQL = {
+    "q_tokens": _TOKEN_LISTS, "q_index": _INDEX, "q_postings": _POSTING_ROWS,
+    "q_phrase_match": _PHRASE_MATCH, "q_phrase_count": _PHRASE_COUNT,
+    "q_json_leaves": _JSON_LEAVES, "q_entities": _ENTITIES, "q_text_functions": _STRIPPED,
+}
