@@ -92,7 +92,7 @@ SELECT s.doc_id AS product_id, d.dim::INTEGER AS dim,
   round((CASE WHEN norm >= 1e-12 THEN coalesce(x, 0) / norm ELSE coalesce(x, 0) END)
     ::FLOAT::DOUBLE, 5) + 0.0 AS x
 FROM sizes s CROSS JOIN range({_DIM}) d(dim) LEFT JOIN mean m ON m.doc_id = s.doc_id
-  AND m.dim = d.dim LEFT JOIN norms USING (doc_id)
+  AND m.dim = d.dim LEFT JOIN norms ON norms.doc_id = s.doc_id
 """
 
 
