@@ -225,24 +225,29 @@ def english(spark: SparkSession, sf: str) -> DataFrame:
         "id.conv_id", "id.turn", "is_english")
 
 
-_GRAMS = """
-  SELECT {key}, unnest([c, c || d, c || d || e]) AS gram FROM (
-    SELECT {key}, c, lead(c, 1) OVER w AS d, lead(c, 2) OVER w AS e FROM (
-      SELECT {key}, generate_subscripts(l, 1) AS i, unnest(l) AS c FROM (
-        SELECT {key}, string_split(' ' || trim(regexp_replace(lower({text}), '[^\\p{{L}}]+', ' ',
-          'g')) || ' ', '') AS l FROM {table}) WHERE len(l) > 2)
-    WINDOW w AS (PARTITION BY {key} ORDER BY i))"""
+_WORDS = "unnest(regexp_extract_all(lower(text), '[\\p{L}]+')) AS word"
 
 _ENGLISH = f"""
-WITH train AS MATERIALIZED ({_GRAMS.format(key='doc_id, lang', text='text', table='documents')}),
-counts AS (SELECT lang, gram, count(*) AS n FROM train WHERE gram <> ' ' GROUP BY ALL),
+WITH vocabulary AS (SELECT word, row_number() OVER (ORDER BY word) AS id FROM (
+  SELECT DISTINCT word FROM (SELECT {_WORDS} FROM documents UNION ALL
+    SELECT {_WORDS} FROM conversations))),
+chars AS (SELECT id, generate_subscripts(l, 1) AS i, unnest(l) AS c
+  FROM (SELECT id, string_split(' ' || word || ' ', '') AS l FROM vocabulary)),
+parts AS (SELECT id, c, lead(c, 1) OVER w AS d, lead(c, 2) OVER w AS e FROM chars
+  WINDOW w AS (PARTITION BY id ORDER BY i)),
+grams AS MATERIALIZED (SELECT word, gram FROM (
+    SELECT id, unnest([c, c || d, c || d || e]) AS gram FROM parts) JOIN vocabulary USING (id)
+  WHERE gram <> ' '),
+counts AS (SELECT lang, gram, sum(n) AS n FROM (
+    SELECT lang, word, count(*) AS n FROM (SELECT lang, {_WORDS} FROM documents) GROUP BY ALL)
+  JOIN grams USING (word) GROUP BY ALL),
 totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY 1),
 profile AS (SELECT lang, gram, round(ln(n / total) * 1000)::BIGINT + 14000 AS gain
   FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM counts)
   JOIN totals USING (lang) WHERE r <= 2000),
-cut AS MATERIALIZED ({_GRAMS.format(key='conv_id, turn', text='text', table='conversations')}),
-scores AS (SELECT conv_id, turn, lang, sum(gain) AS score FROM cut JOIN profile USING (gram)
-  GROUP BY ALL),
+scores AS (SELECT conv_id, turn, lang, sum(gain) AS score
+  FROM (SELECT conv_id, turn, {_WORDS} FROM conversations) JOIN grams USING (word)
+  JOIN profile USING (gram) GROUP BY ALL),
 best AS (SELECT conv_id, turn, arg_min(lang, (-score, lang)) AS lang FROM scores GROUP BY ALL)
 SELECT conv_id, turn, coalesce(best.lang = 'en', false) AS is_english
 FROM conversations LEFT JOIN best USING (conv_id, turn)

@@ -1,7 +1,7 @@
 """English test for queries.
 
-A language profile gives each character group of one to three letters an integer weight, its scaled
-log share in the language. A text belongs to the language with the largest weight sum. Integer
+A language profile gives each group of one to three characters of a word, its ends included, an
+integer weight: its scaled log share in the language. A text belongs to the language with the largest weight sum. Integer
 sums do not depend on the order of rows, so the outcome is repeatable.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from shelfmark.functions.text import strip
 from shelfmark.operators.samples import LANGUAGE_SAMPLES
 
 PROFILE_GRAMS = 2000     # kept per language; bounds the broadcast profile
@@ -18,10 +17,9 @@ WEIGHT_SCALE = 1000
 MISSING_WEIGHT = -14 * WEIGHT_SCALE
 
 
-def letters_only(text: Column) -> Column:
-    """Lower-case words with single spaces between and around them; NULL without a letter."""
-    words = strip(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
-    return F.when(words != "", F.concat(F.lit(" "), words, F.lit(" ")))
+def words(text: Column) -> Column:
+    """Lower-case runs of letters."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
 
 
 def char_grams(chars: Column) -> Column:
@@ -33,19 +31,21 @@ def char_grams(chars: Column) -> Column:
     return F.filter(F.concat(chars, pairs, triples), lambda g: g.isNotNull() & (g != " "))
 
 
-def _cut(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """``(keep..., gram)``; letters and characters are columns of their own, built once per text."""
-    return (df.select(*keep, letters_only(F.col(text)).alias("letters"))
-            .filter(F.col("letters").isNotNull())
-            .select(*keep, F.split("letters", "").alias("chars"))
+def _cut(word_rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``(keep..., gram)`` from ``(keep..., word)``; a space marks both ends of the word."""
+    return (word_rows.select(*keep, F.split(F.concat(F.lit(" "), F.col("word"), F.lit(" ")), "")
+                             .alias("chars"))
             .select(*keep, F.explode(char_grams(F.col("chars"))).alias("gram")))
 
 
 def train_profiles(samples: DataFrame, text: str = "text", lang: str = "lang",
                    grams_per_language: int = PROFILE_GRAMS) -> DataFrame:
     """``(lang, gram, weight)`` from labelled texts: the most frequent groups of each language."""
-    grams = _cut(samples.withColumnRenamed(lang, "lang"), ["lang"], text)
-    counts = grams.groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # Words repeat much more than texts do, so they are counted before they are cut up.
+    counted = (samples.select(F.col(lang).alias("lang"), F.explode(words(F.col(text)))
+                              .alias("word"))
+               .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
+    counts = _cut(counted, ["lang", "n"]).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     weight = F.round(F.log(F.col("n") / F.col("total")) * WEIGHT_SCALE).cast("bigint")
@@ -72,7 +72,8 @@ def detect_language(df: DataFrame, profiles: DataFrame, key: str, text: str) ->
     per_gram = profiles.groupBy("gram").agg(
         F.collect_list(F.struct("lang", F.col("weight") - MISSING_WEIGHT)).alias("gains"))
     # The same penalty for every group cancels out, so only the gain over it is summed.
-    gains = (_cut(df, [key], text).join(F.broadcast(per_gram), "gram")
+    word_rows = df.select(key, F.explode(words(F.col(text))).alias("word"))
+    gains = (_cut(word_rows, [key]).join(F.broadcast(per_gram), "gram")
              .select(key, F.inline("gains").alias("lang", "gain"))
              .groupBy(key, "lang").agg(F.sum("gain").alias("score")))
     best = gains.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("rank"), "lang"))

@@ -37,22 +37,17 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str,
     """Equi-join where hot keys of ``left`` are spread over ``salts`` tasks.
 
     Rows of a hot key get a salt from the hash of the ``spread`` columns; the matching rows of
-    ``right`` (few per key) are repeated once per salt. All other rows join as usual. ``how`` is
-    "inner", "left", "left_semi" or "left_anti": ``right`` rows without partner are not wanted.
-    ``hot`` is the result of ``hot_keys`` or ``hot_keys_by_count``, at most MAX_HOT_KEYS rows.
+    ``right`` (few per key) are repeated once per salt. All other rows join as usual, and without
+    any hot key this is the plain join. ``how`` is "inner", "left", "left_semi" or "left_anti":
+    ``right`` rows without partner are not wanted. ``hot`` is the result of ``hot_keys`` or
+    ``hot_keys_by_count``; it is looked up now, at most MAX_HOT_KEYS numbers.
     """
-    hot = F.broadcast(hot_keys(left, keys, min_rows) if hot is None else hot)
+    listed = (hot_keys(left, keys, min_rows) if hot is None else hot).collect()
+    if not listed:
+        return left.join(right, keys, how)
+    is_hot = F.xxhash64(*keys).isin([row.hot_hash for row in listed])
     zero = F.lit(0).cast("bigint")
-    salt = F.when(F.col("hot_hash").isNotNull(), F.pmod(F.xxhash64(*spread), F.lit(salts))) \
-        .otherwise(zero)
-    copies = F.when(F.col("hot_hash").isNotNull(), F.sequence(zero, zero + salts - 1)) \
-        .otherwise(F.array(zero))
-    key_hash = F.xxhash64(*keys)
-    salted_left = (left.withColumn("key_hash", key_hash)
-                   .join(hot, F.col("key_hash") == F.col("hot_hash"), "left")
-                   .withColumn("salt", salt).drop("key_hash", "hot_hash"))
-    salted_right = (right.withColumn("key_hash", key_hash)
-                    .join(hot, F.col("key_hash") == F.col("hot_hash"), "left")
-                    .withColumn("salt", F.explode(copies))
-                    .drop("key_hash", "hot_hash"))
-    return salted_left.join(salted_right, [*keys, "salt"], how).drop("salt")
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(zero)
+    copies = F.when(is_hot, F.sequence(zero, zero + salts - 1)).otherwise(F.array(zero))
+    return (left.withColumn("salt", salt)
+            .join(right.withColumn("salt", F.explode(copies)), [*keys, "salt"], how).drop("salt"))
