@@ -88,6 +88,6 @@ def with_english(df: DataFrame, key: str, text: str, profiles: DataFrame | None
     ``key`` is unique. Equal texts may be scored once by passing distinct texts.
     """
     profiles = default_profiles(df.sparkSession) if profiles is None else profiles
-    lang = detect_language(df, profiles, key, text)
-    return df.join(lang, key, "left").withColumn(
-        flag, F.coalesce(F.col("lang") == "en", F.lit(False))).drop("lang")
+    found = detect_language(df, profiles, key, text).withColumnRenamed("lang", "detected")
+    return df.join(found, key, "left").withColumn(
+        flag, F.coalesce(F.col("detected") == "en", F.lit(False))).drop("detected")

@@ -18,8 +18,10 @@ def read_filter_document(spark: SparkSession, path: str, lines: bool = False) ->
         if first is None or not first.value.lstrip().startswith("["):
             raise ValueError(f"{path}: expected a JSON array of objects")
     entries = spark.read.schema(_ENTRY).json(path, multiLine=not lines)
+    # The reader keeps the line breaks of the document; a second look writes the array compactly.
+    compact = F.from_json(F.concat(F.lit('{"f":'), F.col("filters"), F.lit("}")), "f STRING")["f"]
     return entries.select(
-        "product_id", "filters",
+        "product_id", F.coalesce(compact, F.col("filters")).alias("filters"),
         F.struct(F.col("_metadata.file_path").alias("path"),
                  F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("row")).alias("position"))
