@@ -20,6 +20,10 @@ def _text(name: str):
     return F.col(name).cast("string")
 
 
+def _since_epoch(unit: str):
+    return F.timestamp_diff(unit, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+
+
 # --- JSON lines -----------------------------------------------------------------------------
 
 
@@ -81,7 +85,7 @@ SELECT count(*) AS lines, count(*) FILTER (p_type <> 'SMALL') AS kept,
 def jsonl_reviews(spark: SparkSession, sf: str) -> DataFrame:
     """Events as review lines; the shape of time stamp and flag depends on the event type."""
     stamp = (F.when(F.col("event_type") == "view", F.concat(
-        F.lit('"timestamp":'), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")))
+        F.lit('"timestamp":'), _since_epoch("SECOND").cast("string")))
         .when(F.col("event_type") == "click", F.concat(
             F.lit('"timestamp":"'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit('"')))
         .when(F.col("event_type") == "error", F.concat(
@@ -130,7 +134,7 @@ def timestamps(spark: SparkSession, sf: str) -> DataFrame:
         "year": F.date_format("ts", "yyyy"),
         "words": F.date_format("ts", "MM dd, yyyy"),
     }
-    epoch = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1000000
+    epoch = _since_epoch("MICROSECOND").cast("double") / 1000000
     return events.select(
         "event_id", *[clean.clean_timestamp(c).alias(n) for n, c in spelled.items()],
         clean.clean_timestamp(epoch.cast("string"), F.lit(True)).alias("epoch"),

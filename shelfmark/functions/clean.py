@@ -12,6 +12,7 @@ _NUMBER = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:nan|inf|infinity))
 _DATE_TIME = (r"^\d{4}-\d{1,2}-\d{1,2}"
               r"([ T]\d{1,2}(:\d{1,2}(:\d{1,2}([.,]\d{1,9})?)?)?"
               r"(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$")
+_WHOLE_SECONDS = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}(:\d{1,2}(:\d{1,2})?)?)?"
 _COMPACT_DATE = r"^\d{8}$"
 
 
@@ -59,12 +60,12 @@ def clean_timestamp(text: Column, is_number: Column | None = None, epoch_unit: s
     wall clock kept.
     """
     s = strip(text)
-    body = F.regexp_replace(s, r"^(\d{4}-\d{1,2}-\d{1,2}[ T][\d:.,]+?)(Z|[+-][\d:]+)$", "$1")
+    # Fraction and offset are cut off in the text, so no step depends on the session time zone.
     plain = F.when(s.rlike(_DATE_TIME),
-                   F.replace(body, F.lit(","), F.lit(".")).try_cast("timestamp_ntz"))
+                   F.regexp_extract(s, _WHOLE_SECONDS, 0).try_cast("timestamp_ntz"))
     compact = F.when(s.rlike(_COMPACT_DATE),
                      F.try_to_date(s, "yyyyMMdd").cast("timestamp_ntz"))
-    from_text = F.date_trunc("second", F.coalesce(plain, compact)).cast("timestamp_ntz")
+    from_text = F.coalesce(plain, compact)
     if is_number is None:
         return from_text
     number = to_float(text)

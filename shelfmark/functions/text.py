@@ -125,7 +125,9 @@ def entity_phrases(text: Column) -> Column:
     """
     runs = F.regexp_extract_all(text, F.lit(f"({ENTITY_RUN})"), F.lit(0))
     kept = F.filter(runs, lambda r: ~r.rlike(ENTITY_NUMBER))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(text))
+    # Through a one-element array, so that the search runs once.
+    return F.transform(F.array(kept), lambda k: F.when(F.size(k) > 0, k)
+                       .otherwise(F.array(text)))[0]
 
 
 def entity_lists(texts: Column) -> Column:
