@@ -244,7 +244,7 @@ counts AS (SELECT lang, gram, sum(n) AS n FROM (
 totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY 1),
 profile AS (SELECT lang, gram, round(ln(n / total) * 1000)::BIGINT + 14000 AS gain
   FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM counts)
-  JOIN totals USING (lang) WHERE r <= 2000),
+  JOIN totals USING (lang) WHERE r <= 1000),
 scores AS (SELECT conv_id, turn, lang, sum(gain) AS score
   FROM (SELECT conv_id, turn, {_WORDS} FROM conversations) JOIN grams USING (word)
   JOIN profile USING (gram) GROUP BY ALL),

@@ -24,8 +24,8 @@ def top_reviews(reviews: DataFrame, k: int = REVIEWS_PER_PRODUCT, key: str = "pa
                 votes: str = "helpful_vote", ties: list[Column] | None = None) -> DataFrame:
     """The ``k`` most helpful reviews per product with their ``rank``; missing votes last.
 
-    The row limit per key is applied before the shuffle as well, so a product with a third of all
-    reviews sends at most ``k`` rows per task.
+    For ``k`` up to 1000 Spark applies the limit per key before the shuffle as well, so a product
+    with a third of all reviews sends at most ``k`` rows per task.
     """
     ties = ties if ties is not None else [F.col("review_ts").desc_nulls_last(), F.col("user_id"),
                                           F.col("review_title"), F.col("review_text")]

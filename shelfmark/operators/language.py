@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from shelfmark.operators.samples import LANGUAGE_SAMPLES
 
-PROFILE_GRAMS = 2000     # kept per language; bounds the broadcast profile
-MAX_LANGUAGES = 128
+PROFILE_GRAMS = 1000     # kept per language; up to here Spark limits the ranking before its shuffle
+MAX_PROFILE_ROWS = 256 * PROFILE_GRAMS   # bounds the broadcast profile
 WEIGHT_SCALE = 1000
 MISSING_WEIGHT = -14 * WEIGHT_SCALE
 
@@ -65,9 +65,9 @@ def detect_language(df: DataFrame, profiles: DataFrame, key: str, text: str) ->
     A group that a profile does not hold costs MISSING_WEIGHT. Each text is cut up, scored and
     summed inside its task; only one small row per text and language is shuffled.
     """
-    found = profiles.select("lang").distinct().count()
-    if found > MAX_LANGUAGES:
-        raise ValueError(f"{found} languages exceed the limit of {MAX_LANGUAGES}")
+    size = profiles.count()
+    if size > MAX_PROFILE_ROWS:
+        raise ValueError(f"{size} profile rows exceed the limit of {MAX_PROFILE_ROWS}")
     # One row per group with the weights of all languages, so that a group joins once.
     per_gram = profiles.groupBy("gram").agg(
         F.collect_list(F.struct("lang", F.col("weight") - MISSING_WEIGHT)).alias("gains"))
