@@ -82,9 +82,9 @@ def summary(keys: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     totals = per_key.agg(F.count(F.lit(1)).alias("unique_keys"),
                          F.count_if(F.col("n_files") >= 2).alias("cross_file_keys"),
                          F.coalesce(F.sum("repeated"), F.lit(0)).alias("within_file_keys"))
-    one = F.lit(1)
-    return rows.withColumn("one", one).join(totals.withColumn("one", one), "one").select(
-        "files", "total_rows", "unique_keys", "cross_file_keys", "within_file_keys")
+    names = ["files", "total_rows", "unique_keys", "cross_file_keys", "within_file_keys"]
+    return rows.unionByName(totals, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in names])
 
 
 def cross_file_examples(counts: DataFrame, limit: int = 10) -> DataFrame:
