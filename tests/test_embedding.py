@@ -52,6 +52,12 @@ def test_top_reviews_limit_before_shuffle(spark, shop):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def test_top_reviews_beyond_the_engine_limit(spark):
+    rows = spark.range(5000).select(F.lit("A").alias("parent_asin"), F.col("id").alias("helpful_vote"))
+    top = top_reviews(rows, k=1500, ties=[])
+    assert sorted(r.helpful_vote for r in top.collect()) == list(range(3500, 5000))
+
+
 def test_vectors(spark):
     docs = spark.createDataFrame([(1, "a", "red red blue " * 60), (2, "b", "!!!"), (3, "c", "red")],
                                  "product_id long, parent_asin string, document string")
