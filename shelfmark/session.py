@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,28 +24,47 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
-_local_folders: dict[str, str] = {}
+SHARED_SETTING = "spark.shelfmark.sharedDir"  # settable on a running session
+
+_written: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or else SHARED_SETTING."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED_SETTING, None)
+    if not folder:
+        raise ValueError(f"set spark.checkpoint.dir or {SHARED_SETTING} to a folder that all "
+                         "executors share")
+    return folder.rstrip("/")
 
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="shelfmark-")
-    return _local_folders[context.applicationId]
+
+def name_shared_folder(spark: SparkSession, folder: str) -> None:
+    """Name the shared folder of a local session that has none (entry points, tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED_SETTING, None)
+    if not named and spark.sparkContext.master.startswith("local["):
+        spark.conf.set(SHARED_SETTING, folder)
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/shelfmark/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/shelfmark/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Remove staged tables: the given ones, or all that this session has written.
+
+    For the end of a flow, once its result is written. Results that still read a staged table
+    are lost with it.
+    """
+    mine = _written.get(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths or list(mine):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(hadoop).delete(target, True)
+        if path in mine:
+            mine.remove(path)
 
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:

@@ -20,10 +20,19 @@ class Stub:
 
 def test_shared_folder_comes_from_the_session():
     assert session.shared_folder(Stub("yarn", spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y"
-    with pytest.raises(ValueError):
-        session.shared_folder(Stub("yarn"))
-    local = session.shared_folder(Stub("local[2]"))
-    assert local and local == session.shared_folder(Stub("local[2]"))
+    assert session.shared_folder(Stub("yarn", spark_shelfmark_sharedDir="s3a://b")) == "s3a://b"
+    for master in ("yarn", "local[2]"):
+        with pytest.raises(ValueError):
+            session.shared_folder(Stub(master))
+
+
+def test_release_removes_what_a_flow_wrote(spark):
+    session.stage(spark.range(3), "gone")
+    path = session._written[spark.sparkContext.applicationId][-1]
+    assert spark.read.parquet(path).count() == 3
+    session.release(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
 
 
 def test_stage_keeps_rows_and_schema(spark):
