@@ -4,8 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import hyperminhash
-from shelfmark.llm.common import table
+from shelfmark.llm import crosspolytope, hyperminhash, langid, toxicity
+from shelfmark.llm.common import id_remainder, table
+
+
+def language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    found = langid.identify(docs.select("doc_id", "text"), langid.train(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return crosspolytope.near_duplicates(table(spark, sf, "embeddings"), threshold=0.93)
+
+
+def toxic(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = toxicity.train(docs, table(spark, sf, "labels"), ~held_out)
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def minhash(spark: SparkSession, sf: str) -> DataFrame:
@@ -13,6 +32,9 @@ def minhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": language,
+    "op3_vectors": vectors,
+    "op9_toxicity": toxic,
     "op10_hyperminhash": minhash,
 }
 

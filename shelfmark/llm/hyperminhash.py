@@ -36,7 +36,7 @@ BAND = 4                  # registers that name a candidate group together
 BANDS = REGISTERS // BAND
 MANTISSA_BITS = 16        # kept after the leading zeros
 EMPTY = np.uint32(0xFFFFFFFF)
-BLOCK = 256               # members that one side of a task compares
+BLOCK = 512               # members that one side of a task compares
 SIGMAS = 4.0              # the sketch rejects a pair only so far below the threshold
 WORD_CACHE = 400_000      # word hashes that a task remembers
 
@@ -261,14 +261,22 @@ def block_links(left: pd.DataFrame, right: pd.DataFrame, band: int, percent: int
 def _compare_rest(open_groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between different components within a group, block by block.
 
-    ``open_groups``: band, band_key, class_id, component, members. A group of n members is dealt to
-    ceil(n / BLOCK) blocks by hash; every pair of blocks is one group of the last shuffle, so no
-    task gets more than two blocks at a time.
+    ``open_groups``: band, band_key, class_id, component, and per group the largest component
+    ``main`` with its ``settled`` members and the number of ``others``. Members of the main
+    component need no comparison among themselves: they are dealt to blocks of their own, which
+    meet the blocks of the others only. Every pair of blocks is one group of the last shuffle, so
+    no task gets more than two blocks at a time.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    dealt = open_groups.withColumn("blocks", blocks).withColumn(
-        "block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    def blocks(n: str):
+        return F.ceil(F.col(n) / BLOCK).cast("int")
+
+    own = F.when(F.col("component") == F.col("main"),
+                 F.col("o") + F.pmod(F.xxhash64("class_id"), F.col("s")))
+    dealt = (open_groups.withColumns({"s": blocks("settled"), "o": blocks("others")})
+             .withColumn("block", F.coalesce(own, F.pmod(F.xxhash64("class_id"), F.col("o")))
+                         .cast("int")))
+    partners = F.when(F.col("block") < F.col("o"), F.col("o") + F.col("s")).otherwise(F.col("o"))
+    copies = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), partners - 1)))
     rows = copies.select(
         *_GROUP, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
         "block", "class_id", "component").join(sets, "class_id")
@@ -300,10 +308,14 @@ def links_between_classes(docs: DataFrame, classes: DataFrame, width: int,
     placed = (members.filter(F.col("members") > 2).join(
         known.withColumnRenamed("id", "class_id"), "class_id", "left")
         .withColumn("component", F.coalesce("component", "class_id")))
-    still_open = (placed.groupBy(*_GROUP)
-                  .agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-                  .filter(F.col("c0") != F.col("c1")).select(*_GROUP))
-    rest = _compare_rest(placed.join(still_open, _GROUP).drop("leader"), sets, percent)
+    still_open = (placed.groupBy(*_GROUP, "component").agg(F.count(F.lit(1)).alias("n"))
+                  .groupBy(*_GROUP).agg(F.max_by("component", F.struct("n", "component"))
+                                        .alias("main"), F.max("n").alias("settled"),
+                                        F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"))
+                  .filter(F.col("parts") > 1)
+                  .select(*_GROUP, "main", "settled", (F.col("all") - F.col("settled"))
+                          .alias("others")))
+    rest = _compare_rest(placed.join(still_open, _GROUP).drop("leader", "members"), sets, percent)
     return first.union(rest)
 
 
