@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import crosspolytope, hyperminhash, langid, toxicity
+from shelfmark.llm import bpe, crosspolytope, hyperminhash, langid, records, toxicity
 from shelfmark.llm.common import id_remainder, table
 
 
+def tokenizer() -> str:
+    """The public tokenizer file of the queries; every executor has the package that brings it."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def language(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -19,6 +25,19 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return crosspolytope.near_duplicates(table(spark, sf, "embeddings"), threshold=0.93)
 
 
+def token_records(spark: SparkSession, sf: str) -> DataFrame:
+    return records.crc_of(records.round_trip(table(spark, sf, "documents"), tokenizer(), end_id=1))
+
+
+def bpe_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = bpe.decode(bpe.encode(docs, tokenizer(), drop_text=True), tokenizer())
+    listed = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       F.sha2(listed, 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def toxic(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     held_out = F.coalesce(id_remainder(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -34,6 +53,8 @@ def minhash(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_language": language,
     "op3_vectors": vectors,
+    "op5_records": token_records,
+    "op6_bpe": bpe_round_trip,
     "op9_toxicity": toxic,
     "op10_hyperminhash": minhash,
 }
