@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import bpe, crosspolytope, hyperminhash, langid, records, toxicity
+from shelfmark.llm import (bpe, chat, crosspolytope, decontaminate, hyperminhash, langid, licenses,
+                           linedup, records, toxicity)
 from shelfmark.llm.common import id_remainder, table
 
 
@@ -21,6 +22,31 @@ def language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    found = linedup.remove_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
+def leaks(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf, "documents").select("doc_id", "text"),
+                                        table(spark, sf, "benchmark"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
+
+
+def license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return licenses.summary(licenses.scan(docs))
+
+
+PROBE = "\\### Assistant: </turn> ok"
+
+
+def conversations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
+    return chat.read_back(chat.format_conversations(rows.union(probe)))
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return crosspolytope.near_duplicates(table(spark, sf, "embeddings"), threshold=0.93)
 
@@ -52,11 +78,98 @@ def minhash(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": language,
+    "op2_lines": lines,
     "op3_vectors": vectors,
+    "op4_leaks": leaks,
     "op5_records": token_records,
     "op6_bpe": bpe_round_trip,
+    "op7_licenses": license_scan,
+    "op8_chat": conversations,
     "op9_toxicity": toxic,
     "op10_hyperminhash": minhash,
 }
 
-SQL: dict[str, str] = {}
+_LINES = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+w AS (SELECT doc_id, line, trim(x) AS c, len(regexp_extract_all(trim(x), '[^ \t-\r]+')) AS words
+    FROM l),
+s AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY line
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM w WHERE words > 0),
+e AS (SELECT *, start + words AS stop FROM s),
+f AS (SELECT *, list(c) OVER ahead AS fw, max(line) OVER ahead AS fw_last,
+        max(stop) OVER ahead AS fw_end, list(c) OVER behind AS bw, min(line) OVER behind AS bw_first,
+        min(start) OVER behind AS bw_start FROM e
+    WINDOW ahead AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING),
+        behind AS (PARTITION BY doc_id ORDER BY stop RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+r AS (SELECT doc_id, 0 AS way, fw AS run, line AS first, fw_last AS last FROM f
+        WHERE fw_end - start >= 50
+    UNION ALL SELECT doc_id, 1, bw, bw_first, line FROM f WHERE stop - bw_start >= 50),
+m AS (SELECT *, min({'d': doc_id, 'f': first, 'l': last}) OVER (PARTITION BY way, run) AS source
+    FROM r),
+g AS (SELECT doc_id, CASE WHEN source.d = doc_id THEN greatest(first, source.l + 1) ELSE first END
+        AS first, last FROM m),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM g),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.line) AS n_removed,
+    string_agg(x, chr(10) ORDER BY line) FILTER (gone.line IS NULL) AS text
+    FROM l LEFT JOIN gone USING (doc_id, line) GROUP BY l.doc_id)
+SELECT doc_id, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_removed AS INTEGER) AS n_removed,
+    coalesce(text, '') AS text FROM kept
+"""
+
+_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+    vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+_CHAT = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, regexp_matches(role || text, '### |</turn>|\\[blhc]') OR contains(role, ':') AS clash,
+    replace(replace(replace(text, '\', '\b'), '</turn>', '\l/turn>'), '### ', '\h## ') AS text_e,
+    replace(replace(replace(replace(role, '\', '\b'), '</turn>', '\l/turn>'), '### ', '\h## '),
+        ':', '\c') AS role_e FROM t)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+        AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+        AS loss_sha256,
+    CAST(sum(14 + CASE WHEN clash THEN length(role_e) + length(text_e)
+        ELSE length(role) + length(text) END) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+_NEAR = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'),
+        lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3])) END AS shingles FROM t),
+n AS (SELECT doc_id, len(shingles) AS n FROM s),
+x AS (SELECT doc_id, hash(unnest(shingles)) AS h FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b
+    ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+    WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS component_id,
+    doc_id = least(doc_id, coalesce(low, doc_id)) AS kept
+FROM n LEFT JOIN c USING (doc_id)
+"""
+
+SQL: dict[str, str] = {
+    "op2_lines": _LINES,
+    "op3_vectors": _VECTORS,
+    "op8_chat": _CHAT,
+    "op10_hyperminhash": _NEAR,
+}
