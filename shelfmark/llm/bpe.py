@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from shelfmark.llm.common import limit_batches
 
-WORD_CACHE = 300_000  # words whose ids a worker remembers, once fresh and once as the older half
+WORD_CACHE = 500_000  # words whose ids a worker remembers
 _END = 0xE000         # added to a character's code to mark it as the last of its word
 
 
@@ -44,25 +44,49 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
+# A full stop or comma behind another symbol belongs to the same word of symbols (İ ends in one
+# once it is lower-cased).
+_SYMBOL_BEFORE = re.compile(r"(?:[^\w\s]|[_İ\x1c-\x1f])[.,][ \n]")
+
+
+def cut(text: str | None) -> list[str]:
+    """Pieces of a text that are encoded each for itself, with the same ids as the whole.
+
+    Words end at blanks, and between a letter or digit and a symbol; so a closing full stop or
+    comma is cut off, unless some symbol comes before one. ASCII text is lower-cased here already,
+    unless it may hold a special token. All this only makes more pieces equal.
+    """
+    text = (text or "").replace("\n", " ")
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
+    if not _SYMBOL_BEFORE.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text.split(" ")
+
+
 class Recent(dict):
-    """Remembers what ``make`` gave for recent keys, in two halves that take turns."""
+    """Remembers what ``make`` gave for the first ``size`` keys.
+
+    Starts anew once as many further keys have been asked for, so that it follows the texts.
+    """
 
     def __init__(self, make, size: int = WORD_CACHE):
         super().__init__()
-        self.make, self.size, self.older = make, size, {}
+        self.make, self.size, self.missed = make, size, 0
 
     def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
+        value = self.make(key)
         self.keep(key, value)
         return value
 
     def keep(self, key, value) -> None:
-        if len(self) >= self.size:
-            self.older = dict(self)
+        if len(self) < self.size:
+            self[key] = value
+            return
+        self.missed += 1
+        if self.missed >= self.size:
+            self.missed = 0
             self.clear()
-        self[key] = value
 
 
 class Vocabulary:
@@ -203,7 +227,7 @@ class Encoder:
 
     def text(self, text: str | None) -> bytes:
         """Ids of a whole text, as little-endian 32-bit numbers."""
-        return b"".join(map(self.pieces.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        return b"".join(map(self.pieces.__getitem__, cut(text)))
 
 
 _encoders: dict[str, Encoder] = {}  # of this worker process, kept from task to task

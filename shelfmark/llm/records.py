@@ -31,7 +31,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from shelfmark.llm.bpe import Recent
+from shelfmark.llm.bpe import Recent, cut
 from shelfmark.llm.common import limit_batches
 from shelfmark.session import new_folder, stage
 
@@ -154,6 +154,7 @@ class LibraryEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for name, i in self.tokenizer.get_vocab().items():
             self.ends[i] = name.endswith("</w>")
+        self.fresh: dict[str, bytes] = {}  # new words of the batch at hand
         self.words = Recent(self._alone)
         self.pieces = Recent(self._piece)
 
@@ -164,8 +165,8 @@ class LibraryEncoder:
     def _split(piece: str) -> tuple[str, str] | None:
         """Letters and closing punctuation, if the piece is no more than that."""
         word = piece.rstrip(".,;:!?")
-        if word.isascii() and word.isalpha():
-            return word.lower(), piece[len(word):]
+        if word.isalpha() and word[-1] != "İ":  # that one ends in a mark once lower-cased
+            return (word.lower() if word.isascii() else word), piece[len(word):]
         return None
 
     def _piece(self, piece: str) -> bytes:
@@ -174,26 +175,30 @@ class LibraryEncoder:
         split = self._split(piece)
         if split is None:
             return self.words[piece]
-        return self.words[split[0]] + (self.words[split[1]] if split[1] else b"")
+        word, mark = split
+        return (self.fresh.get(word) or self.words[word]) + (self.words[mark] if mark else b"")
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the new words of a batch together."""
-        new = {s[0] for pieces in texts for p in {*pieces}.difference(self.pieces)
-               if (s := self._split(p)) and s[0] not in self.words and s[0] not in self.words.older}
-        new = sorted(new)
+        pieces, words = self.pieces, self.words
+        unseen = {p for text in texts for p in text if p not in pieces}
+        new = sorted({s[0] for s in map(self._split, unseen) if s and s[0] not in words})
+        self.fresh = {}
         for i in range(0, len(new), 2000):
             some = new[i:i + 2000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)],
                                                             add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
-                for word, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist()):
-                    self.words.keep(word, ids[a:b].tobytes())
+                data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.fresh.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+        for word, found in self.fresh.items():
+            words.keep(word, found)
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.learn(cut)
-        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in cut]
+        pieces = [cut(t) for t in texts]
+        self.learn(pieces)
+        return [b"".join(map(self.pieces.__getitem__, p)) for p in pieces]
 
 
 _encoders: dict[str, LibraryEncoder] = {}  # of this worker process, kept from task to task
