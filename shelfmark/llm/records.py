@@ -2,9 +2,10 @@
 
 Data file ``part-NNNNN.records``: per document the TFRecord framing
 ``u64 length, u32 masked crc32c(length), payload, u32 masked crc32c(payload)``, little-endian. The
-payload is ``i64 doc_id, i64 1 if the id is known, u32 token id ...``.
-Index file ``part-NNNNN.index``: 24 bytes per record: ``i64 doc_id, u64 offset, u32 tokens, u32
-flag``. ``read_record`` finds one record through it without reading the rest.
+payload is ``i64 doc_id, u32 1 if the id is known, u32 width, token ids``; ids take 2 bytes where
+the vocabulary has at most 65,536 tokens, else 4.
+Index file ``part-NNNNN.index``: 24 bytes per record: ``i64 doc_id, u64 offset, u32 payload bytes,
+u32 flag``. ``read_record`` finds one record through it without reading the rest.
 Manifest (Parquet): one row per block of consecutive records: file, block, offset, bytes, records,
 tokens. Readers get blocks, so a large file is read by many tasks.
 
@@ -37,6 +38,7 @@ from shelfmark.session import new_folder, stage
 
 BLOCK_BYTES = 4 << 20
 CHUNK = 64                 # bytes of a message that the checksum steps through at once
+HEAD = "<qII"             # of a payload
 INDEX_ENTRY = "<qQII"
 _POLYNOMIAL = 0x82F63B78   # Castagnoli, reflected
 _MASK_DELTA = 0xA282EAD8   # of the framing's masked checksums
@@ -151,7 +153,9 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        size = 1 + max(self.tokenizer.get_vocab().values())
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)
         for name, i in self.tokenizer.get_vocab().items():
             self.ends[i] = name.endswith("</w>")
         self.fresh: dict[str, bytes] = {}  # new words of the batch at hand
@@ -159,7 +163,10 @@ class LibraryEncoder:
         self.pieces = Recent(self._piece)
 
     def _alone(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def packed(self, ids: list[int]) -> np.ndarray:
+        return np.array(ids, self.kind)
 
     @staticmethod
     def _split(piece: str) -> tuple[str, str] | None:
@@ -186,11 +193,11 @@ class LibraryEncoder:
         self.fresh = {}
         for i in range(0, len(new), 2000):
             some = new[i:i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)],
-                                                            add_special_tokens=False)[0].ids, "<u4")
+            ids = self.packed(self.tokenizer.encode_batch_fast(
+                [" ".join(some)], add_special_tokens=False)[0].ids)
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
-                data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                data, cuts = ids.tobytes(), [0, *(ids.itemsize * ends).tolist()]
                 self.fresh.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
         for word, found in self.fresh.items():
             words.keep(word, found)
@@ -222,7 +229,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
     limit_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = encoder_of(tokenizer), struct.pack("<I", end_id)
+        encoder = encoder_of(tokenizer)
+        end, width = encoder.packed([end_id]).tobytes(), encoder.kind.itemsize
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}"
@@ -233,12 +241,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
             for batch in batches:
                 texts = encoder.batch(batch.column("text").to_pylist())
                 ids = batch.column("doc_id").to_pylist()
-                payloads = [struct.pack("<qq", d if d is not None else 0, d is not None) + t + end
+                payloads = [struct.pack(HEAD, d or 0, d is not None, width) + t + end
                             for d, t in zip(ids, texts)]
                 for d, payload, frame in zip(ids, payloads, frames(payloads)):
                     out.write(frame)
-                    tokens = len(payload) // 4 - 4
-                    index.append(struct.pack(INDEX_ENTRY, d or 0, at, tokens,
+                    tokens = (len(payload) - 16) // width
+                    index.append(struct.pack(INDEX_ENTRY, d or 0, at, len(payload),
                                              d is not None))
                     at, block[1], block[2] = at + len(frame), block[1] + 1, block[2] + tokens
                     if at - block[0] >= BLOCK_BYTES:
@@ -262,6 +270,12 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
     return stage(ordered.mapInArrow(run, _MANIFEST), "manifest")
 
 
+def token_ids(payload: bytes) -> np.ndarray:
+    """The ids of a payload as 32-bit numbers."""
+    width = struct.unpack_from(HEAD, payload)[2]
+    return np.frombuffer(payload, f"<u{width}", offset=16).astype("<u4")
+
+
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids (u32 little-endian bytes), in tasks of one block each.
 
@@ -287,12 +301,13 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                     payloads = parse(f.read(b.bytes))
                 if len(payloads) != b.records:
                     raise ValueError(f"{b.file}: block {b.block} has {len(payloads)} records")
-                heads = [struct.unpack_from("<qq", p) for p in payloads]
-                sizes = np.array([len(p) // 4 - 4 for p in payloads], np.int64)
+                heads = [struct.unpack_from(HEAD, p) for p in payloads]
+                ids = [token_ids(p) for p in payloads]
+                sizes = np.array([len(i) for i in ids], np.int64)
                 yield pd.DataFrame({
-                    "doc_id": pd.array([d if known else None for d, known in heads], "Int64"),
+                    "doc_id": pd.array([d if known else None for d, known, _ in heads], "Int64"),
                     "start": b.start + np.concatenate([[0], np.cumsum(sizes)[:-1]]),
-                    "n_tokens": sizes, "ids": [p[16:] for p in payloads]})
+                    "n_tokens": sizes, "ids": [i.tobytes() for i in ids]})
 
     return blocks.repartition("file", "block").mapInPandas(
         run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
@@ -303,12 +318,12 @@ def read_record(folder: str, name: str, position: int) -> tuple[int | None, np.n
     store, root = _store(folder)
     with store.open_input_file(f"{root}/{name}.index") as f:
         f.seek(position * struct.calcsize(INDEX_ENTRY))
-        doc_id, offset, tokens, known = struct.unpack(
+        doc_id, offset, size, known = struct.unpack(
             INDEX_ENTRY, f.read(struct.calcsize(INDEX_ENTRY)))
     with store.open_input_file(f"{root}/{name}.records") as f:
         f.seek(offset)
-        payload = parse(f.read(16 + 16 + 4 * tokens))[0]
-    return (doc_id if known else None), np.frombuffer(payload[16:], "<u4")
+        payload = parse(f.read(16 + size))[0]
+    return (doc_id if known else None), token_ids(payload)
 
 
 def crc_of(rows: DataFrame) -> DataFrame:
