@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.llm.common import limit_batches
+from shelfmark.session import stage
 
 SAMPLE_ROWS = 20_000   # labelled rows the classifier is fitted on, at most
 SPACE = 1 << 21        # hashed features
@@ -101,25 +102,16 @@ NOTHING_LEARNED = Model({}, float("-inf"))
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]],
-        fairness: float = FAIRNESS) -> Model:
-    """Logistic regression by gradient steps.
+        chosen: np.ndarray, fairness: float = FAIRNESS) -> Model:
+    """Logistic regression over the features ``chosen``, by gradient steps.
 
     ``pairs``: features of a text and of its swapped form. The loss adds
     ``fairness * mean((z - z_swapped)^2)`` over them.
     """
     if not len(labels):
         return NOTHING_LEARNED
-    flat = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
-    size = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), size)
-    positive = np.bincount(flat[labels[owner] == 1], minlength=SPACE)
-    every = np.bincount(flat, minlength=SPACE)
     share = labels.mean()
-    # evidence: how far a feature's positives are from what chance would give
-    surprise = np.abs(positive - every * share) / np.sqrt(np.maximum(every * share, 1e-9) + 1)
-    chosen = np.flatnonzero((every >= 3) & (surprise >= 2.0))
-    chosen = chosen[np.argsort(-surprise[chosen], kind="stable")[:KEPT_FEATURES]]
-    place = np.full(SPACE, -1, np.int64)
+    place = np.full(SPACE, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
 
     def packed(lists):
@@ -150,33 +142,54 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, pairs: list[tuple[np.ndarray
     return Model({int(f): float(x) for f, x in zip(chosen, w) if abs(x) > 1e-4}, float(b))
 
 
+def evident(rows: DataFrame) -> DataFrame:
+    """feature and evidence: how far a feature's positives are from what chance would give."""
+    share = rows.agg(F.avg("toxic")).first()[0] or 0.0
+    counts = (rows.select("toxic", F.explode("own").alias("feature")).groupBy("feature")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("pos"))
+              .filter(F.col("n") >= 3))
+    chance = F.col("n") * share
+    return counts.select("feature", (F.abs(F.col("pos") - chance) / F.sqrt(chance + 1))
+                         .alias("evidence")).filter(F.col("evidence") >= 2)
+
+
 def train(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS,
           fairness: float = FAIRNESS) -> Model:
     """Fit on the ``rows`` labelled ids of lowest hash that ``learn_from`` accepts.
 
     The sample of ids is broadcast: its size is bounded by ``rows``. Tasks turn the sampled texts
-    into short lists of hashed features; only those reach the driver.
+    into hashed features, whose evidence is summed up by the engine. The driver gets the
+    KEPT_FEATURES of most evidence and, per sampled row, those of its features that are among them.
     """
     sample = (labels.filter(learn_from & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-              .select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
-              .limit(rows))
+              .select("doc_id", (F.col("toxic") == 1).cast("int").alias("toxic"))
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [words(t) for t in batch["text"]]
             other = [swapped(f) for f in found]
             yield pd.DataFrame({
-                "toxic": batch["toxic"], "own": [features(f).tobytes() for f in found],
-                "swap": [features(o).tobytes() if o != f else None
-                         for f, o in zip(found, other)]})
+                "toxic": batch["toxic"], "own": [features(f) for f in found],
+                "swap": [features(o) if o != f else None for f, o in zip(found, other)]})
 
     limit_batches(docs.sparkSession)
-    found = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-             .mapInPandas(run, "toxic int, own binary, swap binary").toPandas())
+    hashed = stage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(
+        extract, "toxic int, own array<int>, swap array<int>"), "features")
+    top = evident(hashed).orderBy(F.desc("evidence"), "feature").limit(KEPT_FEATURES)
+    chosen = np.array(sorted(r["feature"] for r in top.collect()), np.int32)
+
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"toxic": batch["toxic"], **{
+                c: [None if x is None else np.intersect1d(x, chosen).astype(np.int32).tobytes()
+                    for x in batch[c]] for c in ("own", "swap")}})
+
+    found = hashed.mapInPandas(shorten, "toxic int, own binary, swap binary").toPandas()
     own = [np.frombuffer(x, np.int32) for x in found["own"]]
     swap = [np.frombuffer(x, np.int32) if x is not None else None for x in found["swap"]]
-    return fit(own, (found["toxic"].to_numpy() == 1).astype(float),
-               [(a, s) for a, s in zip(own, swap) if s is not None], fairness)
+    return fit(own, found["toxic"].to_numpy().astype(float),
+               [(a, s) for a, s in zip(own, swap) if s is not None], chosen, fairness)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
