@@ -348,9 +348,10 @@ FROM products
 
 
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts with line breaks, quotes and commas survive CSV."""
+    """Line breaks, quotes, commas and outer white space of texts survive CSV."""
     folder = new_folder(spark, "documents-csv")
-    rows = table(spark, sf, "documents").select("doc_id", "text", "lang", F.lit(None)
+    padded = F.concat(F.lit("  \t"), "text", F.lit(" \t \n"))
+    rows = table(spark, sf, "documents").select("doc_id", padded.alias("text"), "lang", F.lit(None)
                                                 .cast("string").alias("note"))
     written = write_csv(rows, folder)
     back = read_csv(spark, folder, _struct(doc_id=_L, text=_S, lang=_S, note=_S))
@@ -359,7 +360,8 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CSV_ROUNDTRIP = """
-SELECT doc_id, md5(text) AS text_md5, lang, NULL::VARCHAR AS note,
+SELECT doc_id, md5('  ' || chr(9) || text || ' ' || chr(9) || ' ' || chr(10)) AS text_md5, lang,
+  NULL::VARCHAR AS note,
   (SELECT count(*) FROM documents) AS written
 FROM documents
 """

@@ -12,7 +12,6 @@ from shelfmark.operators.embedding import top_reviews
 from shelfmark.operators.language import train_profiles, with_english
 from shelfmark.operators.profile import fill_rates, schema_report
 from shelfmark.operators.ranges import describe
-from shelfmark.operators.skew import hot_keys
 from shelfmark.session import stage
 
 
@@ -243,8 +242,7 @@ counts AS (SELECT lang, gram, sum(n) AS n FROM (
   JOIN grams USING (word) GROUP BY ALL),
 totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY 1),
 profile AS (SELECT lang, gram, round(ln(n / total) * 1000)::BIGINT + 14000 AS gain
-  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM counts)
-  JOIN totals USING (lang) WHERE r <= 1000),
+  FROM counts JOIN totals USING (lang)),
 scores AS (SELECT conv_id, turn, lang, sum(gain) AS score
   FROM (SELECT conv_id, turn, {_WORDS} FROM conversations) JOIN grams USING (word)
   JOIN profile USING (gram) GROUP BY ALL),
@@ -254,25 +252,13 @@ FROM conversations LEFT JOIN best USING (conv_id, turn)
 """
 
 
-def skewed_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """The hot-key list that steers balanced joins: document sources with many rows."""
-    docs = table(spark, sf, "documents")
-    hot = hot_keys(docs, ["source"], min_rows=20)
-    named = docs.groupBy("source").agg(F.count(F.lit(1)).alias("rows"))
-    return named.join(hot, F.xxhash64("source") == F.col("hot_hash")).select("source", "rows")
-
-
-_SKEWED_KEYS = """
-SELECT source, count(*) AS rows FROM documents GROUP BY 1 HAVING count(*) >= 20
-"""
-
 QUERIES = {
     "q_subset_steps": subset_steps, "q_semi_queries": semi_queries,
     "q_products_of_interest": interest, "q_in_list": in_list, "q_exact_fold": exact_fold,
     "q_between": between, "q_empty_values": empty_values, "q_fill_rate": fill_rate,
     "q_schema_info": schema_info, "q_describe": describe_columns,
     "q_topk_reviews": topk_reviews, "q_page": page, "q_page_sizes": page_sizes,
-    "q_english": english, "q_skewed_keys": skewed_keys,
+    "q_english": english,
 }
 
 SQL = {
@@ -281,5 +267,4 @@ SQL = {
     "q_between": _BETWEEN, "q_empty_values": _EMPTY_VALUES, "q_fill_rate": _FILL_RATE,
     "q_schema_info": _SCHEMA_INFO, "q_describe": _DESCRIBE, "q_topk_reviews": _TOPK_REVIEWS,
     "q_page": _PAGE, "q_page_sizes": _PAGE_SIZES, "q_english": _ENGLISH,
-    "q_skewed_keys": _SKEWED_KEYS,
 }

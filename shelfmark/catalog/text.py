@@ -124,14 +124,12 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     """Entity phrases of every document, by the default rule."""
     found = texts(spark, sf, "documents").select("doc_id", entity_phrases(F.col("text"))
                                                  .alias("e"))
-    return found.select("doc_id", F.posexplode("e").alias("pos", "entity")).withColumn(
-        "entity", F.when(F.char_length("entity") <= 200, F.col("entity"))
-        .otherwise(F.md5(F.col("entity").cast("binary"))))
+    return found.select("doc_id", F.posexplode("e").alias("pos", "entity"))
 
 
 _ENTITIES = f"""
 SELECT doc_id, (i - 1)::INTEGER AS pos,
-  CASE WHEN length(entity) <= 200 THEN entity ELSE md5(entity) END AS entity
+  entity
 FROM (SELECT doc_id, unnest(e) AS entity, generate_subscripts(e, 1) AS i
   FROM (SELECT doc_id, {_sql_entities('text')} AS e FROM documents))
 """

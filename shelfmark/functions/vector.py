@@ -13,9 +13,14 @@ def l2_norm(vector: Column) -> Column:
 
 
 def l2_normalize(vector: Column, eps: float = NORM_EPSILON) -> Column:
-    """Unit length; a vector shorter than ``eps`` stays as it is."""
+    """Unit length; a vector shorter than ``eps`` stays as it is.
+
+    The norm comes in as an array beside the vector: inside the element function it would be summed
+    up again for every element.
+    """
     wide, norm = vector.cast("array<double>"), l2_norm(vector)
-    return F.when(norm < eps, wide).otherwise(F.transform(wide, lambda x: x / norm))
+    divisor = F.when(norm < eps, 1.0).otherwise(norm)
+    return F.zip_with(wide, F.array_repeat(divisor, F.size(wide)), lambda x, n: x / n)
 
 
 def zero_if_missing(vector: Column, dim: int) -> Column:

@@ -69,7 +69,8 @@ def write_report(report: DataFrame, path: str) -> None:
     """The report as sorted CSV, cross-file keys first; a range sort, not one task."""
     within_by_file = F.when(F.col("section") == "within_file", F.col("files")).otherwise(F.lit(""))
     report.orderBy("section", within_by_file, "product_id").write.mode("overwrite").csv(
-        path, header=True, quote='"', escape='"', emptyValue="")
+        path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False)
 
 
 def summary(keys: DataFrame, counts: DataFrame | None = None) -> DataFrame:

@@ -7,12 +7,10 @@ sums do not depend on the order of rows, so the outcome is repeatable.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.operators.samples import LANGUAGE_SAMPLES
 
-PROFILE_GRAMS = 1000     # kept per language; up to here Spark limits the ranking before its shuffle
-MAX_PROFILE_ROWS = 256 * PROFILE_GRAMS   # bounds the broadcast profile
 WEIGHT_SCALE = 1000
 MISSING_WEIGHT = -14 * WEIGHT_SCALE
 
@@ -38,19 +36,16 @@ def _cut(word_rows: DataFrame, keep: list[str]) -> DataFrame:
             .select(*keep, F.explode(char_grams(F.col("chars"))).alias("gram")))
 
 
-def train_profiles(samples: DataFrame, text: str = "text", lang: str = "lang",
-                   grams_per_language: int = PROFILE_GRAMS) -> DataFrame:
-    """``(lang, gram, weight)`` from labelled texts: the most frequent groups of each language."""
+def train_profiles(samples: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``(lang, gram, weight)`` from labelled texts: all groups of each language."""
     # Words repeat much more than texts do, so they are counted before they are cut up.
     counted = (samples.select(F.col(lang).alias("lang"), F.explode(words(F.col(text)))
                               .alias("word"))
                .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
     counts = _cut(counted, ["lang", "n"]).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     weight = F.round(F.log(F.col("n") / F.col("total")) * WEIGHT_SCALE).cast("bigint")
-    return (counts.withColumn("rank", rank).filter(F.col("rank") <= grams_per_language)
-            .join(totals, "lang").select("lang", "gram", weight.alias("weight")))
+    return counts.join(totals, "lang").select("lang", "gram", weight.alias("weight"))
 
 
 def default_profiles(spark: SparkSession) -> DataFrame:
@@ -62,20 +57,18 @@ def default_profiles(spark: SparkSession) -> DataFrame:
 def detect_language(df: DataFrame, profiles: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, lang)`` for every text with a letter; ties go to the first language code.
 
-    A group that a profile does not hold costs MISSING_WEIGHT. Each text is cut up, scored and
-    summed inside its task; only one small row per text and language is shuffled.
+    A group that a profile does not hold costs MISSING_WEIGHT. Groups are counted per text before
+    they meet the profile; the engine broadcasts the profile if its own size check allows that.
     """
-    size = profiles.count()
-    if size > MAX_PROFILE_ROWS:
-        raise ValueError(f"{size} profile rows exceed the limit of {MAX_PROFILE_ROWS}")
     # One row per group with the weights of all languages, so that a group joins once.
     per_gram = profiles.groupBy("gram").agg(
         F.collect_list(F.struct("lang", F.col("weight") - MISSING_WEIGHT)).alias("gains"))
     # The same penalty for every group cancels out, so only the gain over it is summed.
     word_rows = df.select(key, F.explode(words(F.col(text))).alias("word"))
-    gains = (_cut(word_rows, [key]).join(F.broadcast(per_gram), "gram")
-             .select(key, F.inline("gains").alias("lang", "gain"))
-             .groupBy(key, "lang").agg(F.sum("gain").alias("score")))
+    counted = _cut(word_rows, [key]).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
+    gains = (counted.join(per_gram, "gram")
+             .select(key, "n", F.inline("gains").alias("lang", "gain"))
+             .groupBy(key, "lang").agg(F.sum(F.col("gain") * F.col("n")).alias("score")))
     best = gains.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("rank"), "lang"))
                                   .alias("best"))
     return best.select(key, "best.lang")

@@ -80,13 +80,3 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(table: DataFrame) -> DataFrame:
-    """Deal out a scanned table that comes in fewer pieces than there are cores.
-
-    For a small table in one unsplittable file, before work that costs much per row. Larger inputs
-    already come in enough pieces and stay as they are.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

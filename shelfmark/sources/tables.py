@@ -86,7 +86,8 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> int
     seen = Observation()
     (rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
      .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
-     .csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue=""))
+     .csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="",
+          ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
     return seen.get["rows"]
 
 

@@ -152,3 +152,12 @@ def test_stream_equals_batch(spark, dump, tmp_path):
     batch = clean_folder(spark, dump).reviews
     assert sorted(map(str, spark.read.parquet(table).collect())) == \
         sorted(map(str, batch.collect()))
+
+
+def test_csv_keeps_outer_white_space(spark, tmp_path):
+    from shelfmark.sources.tables import read_csv, write_csv
+    cells = ["  lead", "tail  ", "\tTab", "a\n"]
+    rows = spark.createDataFrame([(c,) for c in cells], "text string")
+    write_csv(rows, str(tmp_path / "padded"))
+    assert sorted(r.text for r in read_csv(spark, str(tmp_path / "padded"), rows.schema)
+                  .collect()) == sorted(cells)
