@@ -93,7 +93,7 @@ class Model:
                 if hit:
                     hits.update(hit)
             z = self.intercept + sum(weights[i] for i in sorted(hits))
-            return float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
+            return 0.0 if z == float("-inf") else float(1 / (1 + np.exp(-np.clip(z, -700, 700))))
 
         return score
 
