@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from shelfmark import catalog
 from tools.compare import TABLES, kinds_of, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,7 @@ def test_names_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, db, name):
     got = entry.queries()[name](spark, SF).toArrow()
     want = db.execute(entry.oracle_sql()[name]).to_arrow_table()
