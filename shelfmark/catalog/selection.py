@@ -35,8 +35,7 @@ UNION ALL SELECT 3, 'first_split', b, c, b - c FROM n
 def semi_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Reduced queries whose product is in the catalogue of two categories (F2)."""
     catalogue = sel.in_list(products(spark, sf), "main_category", ["PROMO", "SMALL"])
-    kept = sel.queries_with_product(sel.subset(judged(spark, sf)), catalogue,
-                                    spread=["query_id", "line"])
+    kept = sel.queries_with_product(sel.subset(judged(spark, sf)), catalogue)
     return kept.select("query_id", "line", "product_id", "split")
 
 

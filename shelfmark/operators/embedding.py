@@ -15,30 +15,22 @@ from shelfmark.constants import (BATCH_SIZE, MIN_DOCUMENT_CHARS, POOL_EPSILON, R
 from shelfmark.functions.clean import blank_to_empty, is_empty
 from shelfmark.functions.text import strip, tokens
 from shelfmark.functions.vector import l2_normalize, to_float32, zero_if_missing
-from shelfmark.operators.skew import MIN_HOT_ROWS, SALTS, salted_join
 
 VECTOR_SIZE = 64
-ENGINE_LIMIT = 1000   # largest row limit per key that Spark applies before a shuffle by default
 
 
 def top_reviews(reviews: DataFrame, k: int = REVIEWS_PER_PRODUCT, key: str = "parent_asin",
                 votes: str = "helpful_vote", ties: list[Column] | None = None) -> DataFrame:
     """The ``k`` most helpful reviews per product with their ``rank``; missing votes last.
 
-    For ``k`` up to ENGINE_LIMIT Spark applies the limit per key before the shuffle as well, so a
-    product with a third of all reviews sends at most ``k`` rows per task. Beyond that the rows are
-    ranked in salted parts of each key first, and only the ``k`` best of each part go on.
+    The engine applies the limit per key before the shuffle as well, so a product with a third of
+    all reviews sends at most ``k`` rows per task. It does so up to the session's
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; raise that together with ``k``.
     """
     ties = ties if ties is not None else [F.col("review_ts").desc_nulls_last(), F.col("user_id"),
                                           F.col("review_title"), F.col("review_text")]
-    best = [F.col(votes).desc_nulls_last(), *ties]
     keyed = reviews.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    if k > ENGINE_LIMIT:
-        parts = W.partitionBy(key, "part").orderBy(*best)
-        keyed = (keyed.withColumn("part", F.pmod(F.xxhash64(*reviews.columns), F.lit(SALTS)))
-                 .withColumn("rank", F.row_number().over(parts))
-                 .filter(F.col("rank") <= k).drop("part", "rank"))
-    order = W.partitionBy(key).orderBy(*best)
+    order = W.partitionBy(key).orderBy(F.col(votes).desc_nulls_last(), *ties)
     return keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -54,7 +46,7 @@ def review_parts(ranked: DataFrame, key: str = "parent_asin", title: str = "revi
 
 def product_documents(products: DataFrame, reviews: DataFrame, k: int = REVIEWS_PER_PRODUCT,
                       min_chars: int = MIN_DOCUMENT_CHARS, skip_empty_json: bool = False,
-                      min_hot_rows: int = MIN_HOT_ROWS, **ranking) -> DataFrame:
+                      **ranking) -> DataFrame:
     """``(product_id, parent_asin, document)``.
 
     Title, features, details and the top reviews, stripped, without blanks, one per line. Products
@@ -63,8 +55,7 @@ def product_documents(products: DataFrame, reviews: DataFrame, k: int = REVIEWS_
     parts = review_parts(top_reviews(reviews, k, **ranking))
     base = products.select("product_id", blank_to_empty(F.col("parent_asin")).alias("parent_asin"),
                            "product_title", "features_json", "details_json")
-    joined = salted_join(base, parts, ["parent_asin"], "left", spread=["product_id"],
-                         min_rows=min_hot_rows)
+    joined = base.join(parts, "parent_asin", "left")
     json_part = lambda c: F.when(~is_empty(F.col(c)), F.col(c)) if skip_empty_json else F.col(c)
     pieces = F.concat(F.array(F.col("product_title"), json_part("features_json"),
                               json_part("details_json")),

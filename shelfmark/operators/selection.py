@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.text import strip
-from shelfmark.operators.skew import MIN_HOT_ROWS, salted_join
 
 
 def subset(queries: DataFrame, column: str = "small_version", value=1) -> DataFrame:
@@ -40,21 +39,17 @@ def distinct_keys(df: DataFrame, column: str, alias: str | None = None) -> DataF
 
 
 def queries_with_product(queries: DataFrame, products: DataFrame, query_key: str = "product_id",
-                         product_key: str = "parent_asin", spread: list[str] | None = None,
-                         min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                         product_key: str = "parent_asin") -> DataFrame:
     """Queries whose judged product exists."""
     keys = distinct_keys(products, product_key, query_key)
-    return salted_join(queries, keys, [query_key], "left_semi", spread or queries.columns,
-                       min_rows=min_hot_rows).select(*queries.columns)
+    return queries.join(keys, query_key, "left_semi").select(*queries.columns)
 
 
 def products_of_interest(products: DataFrame, queries: DataFrame, query_key: str = "product_id",
-                         product_key: str = "parent_asin", spread: list[str] | None = None,
-                         min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                         product_key: str = "parent_asin") -> DataFrame:
     """Products judged by at least one query."""
     keys = distinct_keys(queries, query_key, product_key)
-    return salted_join(products, keys, [product_key], "left_semi", spread or ["product_id"],
-                       min_rows=min_hot_rows).select(*products.columns)
+    return products.join(keys, product_key, "left_semi").select(*products.columns)
 
 
 def step_report(flagged: DataFrame, flags: list[str]) -> DataFrame:

@@ -6,20 +6,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.operators.language import with_english
 from shelfmark.operators.selection import queries_with_product, subset
-from shelfmark.operators.skew import MIN_HOT_ROWS, salted_join
 from shelfmark.session import stage
 from shelfmark.sources.tables import write_csv
 
 
-def english_only(queries: DataFrame, profiles: DataFrame | None = None, text: str = "query",
-                 spread: list[str] | None = None,
-                 min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def english_only(queries: DataFrame, profiles: DataFrame | None = None, text: str = "query"
+                 ) -> DataFrame:
     """T7 on queries: each distinct text is judged once."""
     texts = queries.select(text).filter(F.col(text).isNotNull()).distinct()
     english = with_english(texts.withColumn("text_key", F.col(text)), "text_key", text, profiles)
     kept = english.filter("is_english").select(text)
-    return salted_join(queries, kept, [text], "left_semi", spread or queries.columns,
-                       min_rows=min_hot_rows).select(*queries.columns)
+    return queries.join(kept, text, "left_semi").select(*queries.columns)
 
 
 def select_queries(examples: DataFrame, products: DataFrame,

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import padded, tokens
 from shelfmark.operators import filters as flt
 from shelfmark.operators.language import train_profiles, with_english
-from shelfmark.operators.phrases import phrase_counts, phrase_matches, search_bodies
-from shelfmark.operators.skew import salted_join
+from shelfmark.operators.phrases import (describe_phrases, match_ids, phrase_counts,
+                                         phrase_matches, search_bodies)
 
 
 def phrase_frame(spark, pairs):
@@ -35,8 +35,7 @@ def test_golden_phrases(spark):
                    ("f", "noir blue steel"): {1}}
 
 
-@pytest.mark.parametrize("min_hot_rows", [1, 10**9])
-def test_phrases_against_direct(spark, min_hot_rows):
+def test_phrases_against_direct(spark):
     random.seed(8)
     words = ["a", "b", "c", "dd", "e"]
     docs = [(i, " ".join(random.choices(words, [20, 5, 5, 2, 1], k=random.randint(1, 12))))
@@ -47,21 +46,28 @@ def test_phrases_against_direct(spark, min_hot_rows):
     asked = phrase_frame(spark, [("f", p) for p in phrases]).drop("raw")
     want = {(p, i) for p in phrases for i, d in docs if f" {p} " in f" {d} "}
     got = {(r.phrase.strip(), r.row_id)
-           for r in phrase_matches(bodies, asked, min_hot_rows=min_hot_rows).collect()}
+           for r in phrase_matches(bodies, asked).collect()}
     assert got == want
     counts = {r.phrase.strip(): r.match_count
-              for r in phrase_counts(bodies, asked, min_hot_rows=min_hot_rows).collect()}
+              for r in phrase_counts(bodies, asked).collect()}
     assert counts == {p: sum(1 for q, _ in want if q == p) for p, _ in want}
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
-    left = spark.range(300).select("id", F.when(F.col("id") < 200, 1).otherwise(F.col("id") % 9)
-                                   .cast("long").alias("k"))
-    right = spark.createDataFrame([(1, "x"), (2, "y"), (77, "z")], "k long, v string")
-    salted = salted_join(left, right, ["k"], how, ["id"], min_rows=20, salts=4)
-    plain = left.join(right, ["k"], how)
-    assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+def test_long_phrases_and_plans(spark):
+    """Whole documents as phrases, repeated tokens, and no text in a shuffle of the matching."""
+    random.seed(9)
+    docs = [(i, " ".join(random.choices("ab", k=random.randint(1, 200)))) for i in range(60)]
+    docs += [(100, docs[0][1] + " " + docs[1][1]), (101, "a " * 90), (102, "a " * 77)]
+    bodies = search_bodies(spark.createDataFrame(docs, "id long, f string"), "id", ["f"])
+    asked = phrase_frame(spark, [("f", d) for d in sorted({d for _, d in docs})]).drop("raw")
+    want = {(p.strip(), i) for _, p in docs for i, d in docs if f" {p.strip()} " in f" {d.strip()} "}
+    got = {(r.phrase.strip(), r.row_id) for r in phrase_matches(bodies, asked).collect()}
+    assert got == want
+    plan = match_ids(bodies, describe_phrases(asked))._jdf.queryExecution().executedPlan().toString()
+    assert "phrase_id" in plan and "body" not in plan and "phrase#" not in plan
+    none = asked.filter("phrase = ''")
+    assert phrase_matches(bodies, none).count() == phrase_counts(bodies, none).count() == 0
+    assert phrase_matches(bodies.limit(0), asked).count() == 0
 
 
 def catalogue(spark):
@@ -73,12 +79,11 @@ def catalogue(spark):
         rows, "product_id long, parent_asin string, product_title string, features_json string")
 
 
-@pytest.mark.parametrize("min_hot_rows", [1, 10**9])
-def test_text_filters_own_key(spark, min_hot_rows):
+def test_text_filters_own_key(spark):
     products = catalogue(spark)
     interest = products.filter(F.col("parent_asin").isNotNull())
     kinds = {"product_title": "NER_contains", "features_json": "json_contains"}
-    found = flt.text_filters(products, interest, 4, kinds, min_hot_rows=min_hot_rows)
+    found = flt.text_filters(products, interest, 4, kinds)
     got = {(r.product_id, r.filter_column, r.value, r.match_count, r.match_percentage)
            for r in found.collect()}
     assert got == {
