@@ -67,6 +67,15 @@ def release(spark: SparkSession, *paths: str) -> None:
             mine.remove(path)
 
 
+def deal(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` over the session's shuffle partitions, whatever the files look like.
+
+    For steps whose work per byte is far above that of moving the bytes once. The number is given,
+    so small partitions are not merged again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
