@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.catalog.standins import table
 from shelfmark.operators import audit as dup
-from shelfmark.session import new_folder, stage
-from shelfmark.sources.tables import read_key_column, read_table, write_csv
+from shelfmark.session import new_folder
+from shelfmark.sources.tables import read_key_columns, read_table
 
 
 def _keys(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of source files; rows in French lack the key."""
     return table(spark, sf, "documents").select(
-        F.col("source").alias("file"),
+        F.col("source").alias("file"), F.col("doc_id").alias("position"),
         F.when(F.col("lang") != "fr", F.md5(F.col("text").cast("binary"))).alias("key"))
 
 
-_KEYS = """keys AS (SELECT source AS file, CASE WHEN lang <> 'fr' THEN md5(text) END AS key
+_KEYS = """keys AS (SELECT source AS file, doc_id AS position, CASE WHEN lang <> 'fr' THEN md5(text) END AS key
   FROM documents),
-counts AS (SELECT file, key, count(*) AS n FROM keys WHERE key IS NOT NULL GROUP BY ALL)"""
+counts AS (SELECT file, key, count(*) AS n, min(position) AS first FROM keys WHERE key IS NOT NULL GROUP BY file, key)"""
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,26 +85,27 @@ SELECT (SELECT count(DISTINCT file) FROM keys) AS files, (SELECT count(*) FROM k
 
 
 def examples(spark: SparkSession, sf: str) -> DataFrame:
-    """The first ten cross-file keys."""
+    """The ten cross-file keys that are seen first."""
     return dup.cross_file_examples(dup.key_counts(_keys(spark, sf)), 10)
 
 
-_EXAMPLES = f"WITH {_KEYS}, {_CROSS_CTE} SELECT * FROM across ORDER BY key LIMIT 10"
+_EXAMPLES = f"""
+WITH {_KEYS}, {_CROSS_CTE},
+seen AS (SELECT key, min({{'f': file, 'p': first}}) AS place FROM counts GROUP BY key)
+SELECT across.* FROM across JOIN seen USING (key) ORDER BY place, key LIMIT 10
+"""
 
 
 def scanned(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys read by column name from CSV with a found delimiter, blanks counted as missing."""
+    """Keys read by column name from many CSV files with two delimiters, whose names repeat
+    from folder to folder; padded keys are trimmed, blanks count as missing."""
     folder = new_folder(spark, "keys-csv")
-    write_csv(_keys(spark, sf).select("file", F.concat(F.lit(" "), "key").alias("id")), folder)
-    keys = read_key_column(spark, folder, "id", require_key=True)
-    return keys.agg(F.count(F.lit(1)).alias("rows"), F.count("key").alias("with_key"),
-                    F.count_distinct("key").alias("unique_keys"))
-
-
-_SCANNED = f"""
-WITH {_KEYS}
-SELECT count(*) AS rows, count(key) AS with_key, count(DISTINCT key) AS unique_keys FROM keys
-"""
+    rows = _keys(spark, sf).select("file", "position", F.concat(F.lit(" "), "key").alias("id"))
+    for sep, part in ((",", 0), (";", 1)):
+        (rows.filter(F.pmod("position", F.lit(2)) == part).write.partitionBy("file")
+         .csv(f"{folder}/{part}", header=True, sep=sep, ignoreLeadingWhiteSpace=False))
+    keys = read_key_columns(spark, [f"{folder}/0", f"{folder}/1"], "id", require_key=True)
+    return dup.summary(keys.withColumn("file", F.element_at(F.split("file", "/"), -2)))
 
 
 def union_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,8 +113,7 @@ def union_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "sources")
     table(spark, sf, "documents").select("doc_id", "lang", "source").write.partitionBy(
         "source").parquet(folder)
-    whole = stage(read_table(spark, folder), "whole")
-    return whole.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return read_table(spark, folder).groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 _UNION_FILES = "SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL"
@@ -127,5 +127,5 @@ QUERIES = {
 SQL = {
     "q_dup_files": _FILES, "q_dup_cross": _CROSS, "q_dup_within": _WITHIN,
     "q_dup_report": _REPORT, "q_dup_summary": _SUMMARY, "q_dup_examples": _EXAMPLES,
-    "q_key_scan": _SCANNED, "q_union_files": _UNION_FILES,
+    "q_key_scan": _SUMMARY, "q_union_files": _UNION_FILES,
 }

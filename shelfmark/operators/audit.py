@@ -1,6 +1,8 @@
 """Duplicate-key audit over files.
 
-Input is ``(file, key)``, one row per table row, key NULL when missing. Everything follows from the
+Input is ``(file, key)``, one row per table row, key NULL when missing; ``position``, where given,
+orders the rows of a file. A file is known by its whole path and shown by its name, so files of one
+name in two folders stay apart. Everything follows from the
 count per (file, key), which is aggregated before its shuffle, so a key that fills a third of the
 rows is one small group.
 """
@@ -12,10 +14,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from shelfmark.constants import DUPLICATE_COLUMNS
 
 
+def file_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
 def key_counts(keys: DataFrame) -> DataFrame:
-    """A4: rows per file and key."""
+    """A4: rows per file and key, and where the key is ``first`` seen if rows have a position."""
+    first = [F.min("position").alias("first")] if "position" in keys.columns else []
     return keys.filter(F.col("key").isNotNull()).groupBy("file", "key").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n"), *first)
 
 
 def file_stats(keys: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -25,32 +32,36 @@ def file_stats(keys: DataFrame, counts: DataFrame | None = None) -> DataFrame:
         F.count("key").alias("rows_with_key"),
         F.count_if(F.col("key").isNull()).alias("rows_missing_key"))
     repeated = counts.groupBy("file").agg(F.count_if(F.col("n") > 1).alias("duplicate_keys"))
-    return missing.join(repeated, "file", "left").withColumn(
-        "duplicate_keys", F.coalesce("duplicate_keys", F.lit(0)))
+    return missing.join(repeated, "file", "left").select(
+        file_name(F.col("file")).alias("file"), "rows_with_key", "rows_missing_key",
+        F.coalesce("duplicate_keys", F.lit(0)).alias("duplicate_keys"))
 
 
 def _listing(pairs: Column) -> tuple[Column, Column]:
-    files = F.array_join(F.transform(pairs, lambda p: p["file"]), ";")
+    files = F.array_join(F.transform(pairs, lambda p: file_name(p["file"])), ";")
     counts = F.array_join(F.transform(pairs, lambda p: F.concat(
-        p["file"], F.lit(":"), p["n"].cast("string"))), ";")
+        file_name(p["file"]), F.lit(":"), p["n"].cast("string"))), ";")
     return files.alias("files"), counts.alias("counts_by_file")
 
 
+def _across(counts: DataFrame, *more: Column) -> DataFrame:
+    per_key = counts.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_rows"),
+        F.sort_array(F.collect_list(F.struct("file", "n"))).alias("pairs"), *more)
+    return per_key.filter(F.col("n_files") >= 2)
+
+
 def cross_file(counts: DataFrame) -> DataFrame:
-    """Keys in two or more files, with the files in name order and their counts.
+    """Keys in two or more files, with the files in path order and their counts.
 
     A list holds at most one entry per file.
     """
-    per_key = counts.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_files"), F.sum("n").alias("n_rows"),
-        F.sort_array(F.collect_list(F.struct("file", "n"))).alias("pairs"))
-    return per_key.filter(F.col("n_files") >= 2).select(
-        "key", "n_files", "n_rows", *_listing(F.col("pairs")))
+    return _across(counts).select("key", "n_files", "n_rows", *_listing(F.col("pairs")))
 
 
 def within_file(counts: DataFrame) -> DataFrame:
     """D3: keys repeated inside one file."""
-    return counts.filter(F.col("n") > 1).select("file", "key", "n")
+    return counts.filter(F.col("n") > 1).select(file_name(F.col("file")).alias("file"), "key", "n")
 
 
 def duplicate_report(counts: DataFrame) -> DataFrame:
@@ -89,5 +100,10 @@ def summary(keys: DataFrame, counts: DataFrame | None = None) -> DataFrame:
 
 
 def cross_file_examples(counts: DataFrame, limit: int = 10) -> DataFrame:
-    """The first cross-file keys; only the best rows of each task reach the result."""
-    return cross_file(counts).orderBy("key").limit(limit)
+    """The cross-file keys that are seen first, files in path order and rows in file order.
+
+    Only the best rows of each task reach the result. ``counts`` comes from rows with a position.
+    """
+    seen = _across(counts, F.min(F.struct("file", "first")).alias("seen"))
+    return (seen.orderBy("seen", "key").limit(limit)
+            .select("key", "n_files", "n_rows", *_listing(F.col("pairs"))))

@@ -20,7 +20,7 @@ class Audit:
 
 
 def audit_keys(keys: DataFrame) -> Audit:
-    """All reports from ``(file, key)`` rows."""
+    """All reports from ``(file, position, key)`` rows."""
     counts = stage(audit.key_counts(keys), "key-counts")
     return Audit(audit.summary(keys, counts), audit.file_stats(keys, counts),
                  audit.cross_file_examples(counts), audit.duplicate_report(counts))
@@ -28,9 +28,9 @@ def audit_keys(keys: DataFrame) -> Audit:
 
 def audit_files(spark: SparkSession, paths: list[str], key: str = "product_id",
                 require_key: bool = False, delimiter: str | None = None,
-                report: str | None = None) -> Audit:
+                report: str | None = None, single_line: bool = False) -> Audit:
     """Audit CSV files on any key column; optionally write the report."""
-    keys = stage(read_key_columns(spark, paths, key, require_key, delimiter), "keys")
+    keys = stage(read_key_columns(spark, paths, key, require_key, delimiter, single_line), "keys")
     result = audit_keys(keys)
     if report:
         audit.write_report(result.report, report)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from shelfmark.functions.text import strip
@@ -32,41 +35,68 @@ def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**_CSV, inferSchema=True).csv(path)
 
 
-def csv_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter seen most often in the header line; a comma when there is none."""
-    header = spark.read.text(path).limit(1).first()
-    counts = [(header.value.count(d) if header else 0, -i) for i, d in enumerate(DELIMITERS)]
-    best, index = max(counts)
+def _delimiter_in(header: str) -> str:
+    """The delimiter seen most often outside quotes; a comma when there is none."""
+    bare = re.sub(r'"[^"]*"', "", header)
+    best, index = max((bare.count(d), -i) for i, d in enumerate(DELIMITERS))
     return DELIMITERS[-index] if best else ","
 
 
-def read_key_column(spark: SparkSession, path: str, key: str, require_key: bool = False,
-                    delimiter: str | None = None) -> DataFrame:
-    """``(file, key)`` for every row of one CSV file; the key is trimmed, blank is NULL.
+def csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Header line to the files that have it, found by one job however many files there are.
 
-    A file without the key column gives NULL keys, or fails with ``require_key``.
+    The driver gets one line per file. Files without any line are left out.
     """
-    delimiter = delimiter or csv_delimiter(spark, path)
-    table = spark.read.options(**_CSV, sep=delimiter).csv(path)
-    if key in table.columns:
-        value = F.nullif(strip(F.col(f"`{key}`").cast("string")), F.lit(""))
-    elif require_key:
-        raise ValueError(f"{path}: no column {key!r} in {table.columns}")
-    else:
-        value = F.lit(None).cast("string")
-    return table.select(F.col("_metadata.file_name").alias("file"), value.alias("key"))
+    lines = spark.read.option("recursiveFileLookup", True).text(paths)
+    first = (lines.select(F.col("_metadata.file_path").alias("path"), "value",
+                          F.col("_metadata.file_block_start").alias("block"),
+                          F.monotonically_increasing_id().alias("row"))
+             .filter(F.col("block") == 0).groupBy("path")
+             .agg(F.min_by("value", "row").alias("header")).orderBy("path"))
+    found: dict[str, list[str]] = {}
+    for r in first.collect():
+        found.setdefault(r["header"].removeprefix("\ufeff"), []).append(unquote(r["path"]))
+    return found
+
+
+def csv_delimiter(spark: SparkSession, path: str) -> str:
+    """The delimiter of the header line of a CSV file."""
+    return _delimiter_in(next(iter(csv_headers(spark, [path])), ""))
 
 
 def read_key_columns(spark: SparkSession, paths: list[str], key: str, require_key: bool = False,
-                     delimiter: str | None = None) -> DataFrame:
-    """S6 over several files, as one table."""
-    parts = [read_key_column(spark, p, key, require_key, delimiter) for p in paths]
-    united = parts[0]
-    for part in parts[1:]:
-        united = united.unionByName(part)
+                     delimiter: str | None = None, single_line: bool = False) -> DataFrame:
+    """``(file, position, key)`` for every row of CSV files, one scan per distinct header.
+
+    ``file`` is the whole path, ``position`` orders the rows of a file, the key is trimmed and
+    blank is NULL. Files without the key column give NULL keys, or fail with ``require_key``.
+    ``single_line`` lets Spark split files that hold no line breaks in cells.
+    """
+    options = {**_CSV, "multiLine": not single_line}
+    united = spark.createDataFrame([], "file string, position struct<block: bigint, row: bigint>, "
+                                       "key string")
+    for header, files in csv_headers(spark, paths).items():
+        rows = spark.read.options(**options, sep=delimiter or _delimiter_in(header)).csv(files)
+        if key in rows.columns:
+            value = F.nullif(strip(F.col(f"`{key}`").cast("string")), F.lit(""))
+        elif require_key:
+            raise ValueError(f"{files[0]}: no column {key!r} in {rows.columns}")
+        else:
+            value = F.lit(None).cast("string")
+        united = united.unionByName(rows.select(
+            F.col("_metadata.file_path").alias("file"),
+            F.struct(F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row")).alias("position"),
+            value.alias("key")))
     return united
 
 
+def read_key_column(spark: SparkSession, path: str, key: str, require_key: bool = False,
+                    delimiter: str | None = None, single_line: bool = False) -> DataFrame:
+    """S6 for one file or folder."""
+    return read_key_columns(spark, [path], key, require_key, delimiter, single_line)
+
+
 def pick_columns(df: DataFrame, columns: list[str] | T.StructType) -> DataFrame:
     """The listed columns in order; missing ones are NULL."""
     if isinstance(columns, T.StructType):

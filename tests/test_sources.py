@@ -14,7 +14,7 @@ from shelfmark.plans.tables import build_tables, clean_folder
 from shelfmark.schemas import PRODUCTS, PRODUCTS_CSV, REVIEWS
 from shelfmark.sources import jsonl
 from shelfmark.sources.filters import read_filter_document
-from shelfmark.sources.tables import csv_delimiter, read_csv, read_key_column
+from shelfmark.sources.tables import csv_delimiter, csv_headers, read_csv, read_key_column
 from shelfmark.streaming.ingest import append_reviews
 
 GOOD = {"parent_asin": "A1", "title": "T", "average_rating": 4.5, "rating_number": "7.0",
@@ -145,6 +145,22 @@ def test_audit_files(spark, tmp_path):
     assert read_key_column(spark, paths[0], "nope").filter("key IS NOT NULL").count() == 0
 
 
+def test_audit_by_path_and_first_seen(spark, tmp_path):
+    for folder, rows in (("a", "z9,1\nk1,2\n"), ("b b", "k1,3\nz9,4\n"), ("c", "q,5\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "p.csv").write_text('id,"t;;;;u"\n' + rows)
+    paths = [str(tmp_path / f / "p.csv") for f in ("a", "b b", "c")]
+    found = audit_files(spark, paths, key="id")
+    assert found.summary.first().asDict() == {
+        "files": 3, "total_rows": 5, "unique_keys": 3, "cross_file_keys": 2,
+        "within_file_keys": 0}
+    assert [tuple(r) for r in found.examples.collect()] == [
+        ("z9", 2, 2, "p.csv;p.csv", "p.csv:1;p.csv:1"),
+        ("k1", 2, 2, "p.csv;p.csv", "p.csv:1;p.csv:1")]
+    assert [r["file"] for r in found.files.collect()] == ["p.csv"] * 3
+    assert len(csv_headers(spark, paths)) == 1   # one scan for all three
+
+
 def test_stream_equals_batch(spark, dump, tmp_path):
     table = str(tmp_path / "stream")
     for _ in range(2):   # the second run finds nothing new
