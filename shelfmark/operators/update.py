@@ -29,7 +29,11 @@ def apply_filters(products: DataFrame, entries: DataFrame) -> DataFrame:
 
     Write the result to a new path and swap; applying the same entries again changes nothing.
     """
-    updates = filter_updates(entries)
+    return set_filters(products, filter_updates(entries))
+
+
+def set_filters(products: DataFrame, updates: DataFrame) -> DataFrame:
+    """The same with one row ``(product_id, new_filters)`` per id."""
     joined = products.join(updates, "product_id", "left")
     return joined.withColumn("filters_json", F.coalesce("new_filters", "filters_json")).select(
         *products.columns)

@@ -14,6 +14,7 @@ from shelfmark.plans.tables import build_tables, clean_folder
 from shelfmark.schemas import PRODUCTS, PRODUCTS_CSV, REVIEWS
 from shelfmark.sources import jsonl
 from shelfmark.sources.filters import read_filter_document
+from shelfmark.plans.load import load_filters
 from shelfmark.sources.tables import csv_delimiter, csv_headers, read_csv, read_key_column
 from shelfmark.streaming.ingest import append_reviews
 
@@ -121,6 +122,12 @@ def test_filter_document_and_update(spark, tmp_path):
         assert {r[0]: r[1] for r in updated.collect()} == want
         assert {r[0]: r[1] for r in apply_filters(updated, source).collect()} == want
         assert updated_count(products, source) == 2
+    products.write.parquet(str(tmp_path / "products"))
+    for source, by_line in ((whole, False), (lines, True)):
+        loaded = load_filters(spark, str(source), str(tmp_path / "products"),
+                              str(tmp_path / f"loaded-{by_line}"), by_line)
+        assert (loaded.updated, loaded.unknown, loaded.rejected) == (2, 1, 3)
+        assert {r[0]: r[1] for r in loaded.table.collect()} == want
     single = tmp_path / "one.json"
     single.write_text('{"product_id": 1, "filters": []}')
     with pytest.raises(ValueError):
