@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 
 from shelfmark.llm.common import limit_batches
 
-WORD_CACHE = 500_000  # words whose ids a worker remembers
+WORD_CACHE = 200_000  # words, and pieces of text, whose ids a worker remembers
+PAIR_CACHE = 300_000  # token pairs whose compatibility a worker remembers
 _END = 0xE000         # added to a character's code to mark it as the last of its word
 
 
@@ -165,6 +166,8 @@ class Encoder:
                     before, a = a, parts[a][1]
                 else:
                     before, b = b + 1, parts[b][0]
+            if len(self.compatible) >= PAIR_CACHE:
+                self.compatible.clear()
             self.compatible[first, second] = known
         return known
 
