@@ -36,6 +36,8 @@ from shelfmark.llm.bpe import Recent, cut
 from shelfmark.llm.common import limit_batches
 from shelfmark.session import new_folder, stage
 
+RECORD_WORDS = 500_000  # words, and pieces of text, whose ids a task remembers
+
 BLOCK_BYTES = 4 << 20
 CHUNK = 64                 # bytes of a message that the checksum steps through at once
 HEAD = "<qII"             # of a payload
@@ -159,8 +161,8 @@ class LibraryEncoder:
         for name, i in self.tokenizer.get_vocab().items():
             self.ends[i] = name.endswith("</w>")
         self.fresh: dict[str, bytes] = {}  # new words of the batch at hand
-        self.words = Recent(self._alone)
-        self.pieces = Recent(self._piece)
+        self.words = Recent(self._alone, RECORD_WORDS)
+        self.pieces = Recent(self._piece, RECORD_WORDS)
 
     def _alone(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
