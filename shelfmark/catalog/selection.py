@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.catalog.standins import (JUDGED, LINE_REVIEWS, PRODUCTS, judged, line_reviews,
-                                        products, table, texts)
+from shelfmark.catalog.standins import (CATALOGUE, JUDGED, LINE_REVIEWS, PRODUCTS, catalogue,
+                                        judged, line_reviews, products, table, texts)
 from shelfmark.functions.clean import is_empty
 from shelfmark.operators import selection as sel
 from shelfmark.operators.embedding import top_reviews
@@ -16,49 +16,48 @@ from shelfmark.session import stage
 
 
 def subset_steps(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows left after each filter, from one pass."""
+    """Rows left after each filter, from one pass. Sixth lines have no key,
+    seventh lines an empty one."""
+    key = F.when(F.col("line") == 7, "").when(F.col("line") != 6, F.col("product_id"))
     flagged = judged(spark, sf).select(
-        (F.col("small_version") == 1).alias("small"), sel.filled(F.col("product_id"))
-        .alias("has_key"), (F.col("split") == "F").alias("first_split"))
+        (F.col("small_version") == 1).alias("small"), sel.filled(key).alias("has_key"),
+        (F.col("split") == "F").alias("first_split"))
     return sel.step_report(flagged, ["small", "has_key", "first_split"])
 
 
 _SUBSET_STEPS = f"""
 WITH {JUDGED}, n AS (SELECT count(*) AS a, count(*) FILTER (small_version = 1) AS b,
-  count(*) FILTER (small_version = 1 AND split = 'F') AS c FROM judged)
+  count(*) FILTER (small_version = 1 AND line < 6) AS c,
+  count(*) FILTER (small_version = 1 AND line < 6 AND split = 'F') AS d FROM judged)
 SELECT 1 AS step, 'small' AS step_name, a AS before, b AS after, a - b AS removed FROM n
-UNION ALL SELECT 2, 'has_key', b, b, 0 FROM n
-UNION ALL SELECT 3, 'first_split', b, c, b - c FROM n
+UNION ALL SELECT 2, 'has_key', b, c, b - c FROM n
+UNION ALL SELECT 3, 'first_split', c, d, c - d FROM n
 """
 
 
 def semi_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """Reduced queries whose product is in the catalogue of two categories (F2)."""
-    catalogue = sel.in_list(products(spark, sf), "main_category", ["PROMO", "SMALL"])
-    kept = sel.queries_with_product(sel.subset(judged(spark, sf)), catalogue)
+    """Reduced queries whose product is in the catalogue; some ask for unknown keys."""
+    kept = sel.queries_with_product(sel.subset(judged(spark, sf)), catalogue(spark, sf))
     return kept.select("query_id", "line", "product_id", "split")
 
 
 _SEMI_QUERIES = f"""
-WITH {PRODUCTS}, {JUDGED}
+WITH {CATALOGUE}, {JUDGED}
 SELECT query_id, line, product_id, split FROM judged WHERE small_version = 1 AND product_id IN
-  (SELECT parent_asin FROM products WHERE main_category IN ('PROMO', 'SMALL'))
+  (SELECT parent_asin FROM products)
 """
 
 
 def interest(spark: SparkSession, sf: str) -> DataFrame:
-    """Products judged by a query of the reduced set with a large order line."""
-    big = table(spark, sf, "lineitem").filter(
-        (F.col("l_returnflag") == "R") & (F.col("l_quantity") == 50)).select(
-        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product_id"))
-    return sel.products_of_interest(products(spark, sf), big).select(
-        "product_id", "parent_asin", "product_title")
+    """Products judged by a query of the reduced set; some are judged by none."""
+    found = sel.products_of_interest(catalogue(spark, sf), sel.subset(judged(spark, sf)))
+    return found.select("product_id", "parent_asin", "product_title")
 
 
 _INTEREST = f"""
-WITH {PRODUCTS}
+WITH {CATALOGUE}, {JUDGED}
 SELECT product_id, parent_asin, product_title FROM products WHERE parent_asin IN
-  (SELECT 'P' || l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50)
+  (SELECT product_id FROM judged WHERE small_version = 1)
 """
 
 

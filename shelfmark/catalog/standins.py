@@ -51,6 +51,17 @@ PRODUCTS = """products AS (
   FROM part)"""
 
 
+def catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """``products``, those of one category under keys that no query names and no review has."""
+    first = F.when(F.col("main_category") == "STANDARD", "N").otherwise("P")
+    return products(spark, sf).withColumn(
+        "parent_asin", F.concat(first, F.col("product_id").cast("string")))
+
+
+CATALOGUE = PRODUCTS.replace(
+    "'P' || p_partkey AS", "CASE WHEN p_type = 'STANDARD' THEN 'N' ELSE 'P' END || p_partkey AS")
+
+
 def judged(spark: SparkSession, sf: str) -> DataFrame:
     """``lineitem`` as judged queries; returned lines form the reduced set."""
     return table(spark, sf, "lineitem").select(

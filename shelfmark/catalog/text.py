@@ -45,15 +45,14 @@ FROM (SELECT doc_id, unnest({SQL_TOKENS.format('text')}) AS token FROM documents
 
 
 def posting_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """All positions of the index over the benchmark passages."""
-    bodies = search_bodies(texts(spark, sf, "benchmark"), "item_id", ["text"])
-    return postings(bodies)
+    """All positions of the index over the documents."""
+    return postings(_document_bodies(spark, sf))
 
 
 _POSTING_ROWS = f"""
-SELECT 'text' AS field, token, item_id AS row_id, (i - 1)::INTEGER AS pos FROM (
-  SELECT item_id, unnest(t) AS token, generate_subscripts(t, 1) AS i
-  FROM (SELECT item_id, {SQL_TOKENS.format('text')} AS t FROM benchmark))
+SELECT 'text' AS field, token, doc_id AS row_id, (i - 1)::INTEGER AS pos FROM (
+  SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS i
+  FROM (SELECT doc_id, {SQL_TOKENS.format('text')} AS t FROM documents))
 """
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.catalog.standins import (PRODUCTS, SQL_TOKENS, TEXT_REVIEWS, products, table,
+from shelfmark.catalog.standins import (CATALOGUE, SQL_TOKENS, TEXT_REVIEWS, catalogue, table,
                                         text_reviews, texts)
 from shelfmark.functions.vector import l2_norm, l2_normalize, to_float32, zero_if_missing
 from shelfmark.operators.embedding import (masked_mean, mean_vectors, not_yet_done,
@@ -16,10 +16,13 @@ _DIM = 64
 
 
 def product_doc(spark: SparkSession, sf: str) -> DataFrame:
-    """Product text with its reviews, digest and length."""
+    """Product text with its reviews, digest and length. Products without reviews have
+    nothing but a title here, so the short ones go."""
     ties = [F.col("review_title"), F.col("review_text")]
-    docs = product_documents(products(spark, sf), text_reviews(spark, sf), k=5, min_chars=80,
-                             ties=ties)
+    described = F.col("main_category") != "STANDARD"
+    rows = catalogue(spark, sf).withColumns(
+        {c: F.when(described, F.col(c)) for c in ("features_json", "details_json")})
+    docs = product_documents(rows, text_reviews(spark, sf), ties=ties)
     return docs.select("product_id", "parent_asin",
                        F.char_length("document").cast("bigint").alias("n_chars"),
                        F.md5(F.col("document").cast("binary")).alias("digest"))
@@ -28,22 +31,21 @@ def product_doc(spark: SparkSession, sf: str) -> DataFrame:
 _SPACES = "' ' || chr(9) || chr(10) || chr(13)"
 
 _PRODUCT_DOC = f"""
-WITH {PRODUCTS}, {TEXT_REVIEWS},
+WITH {CATALOGUE}, {TEXT_REVIEWS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY parent_asin
     ORDER BY helpful_vote DESC, review_title, review_text) AS rank FROM reviews),
 parts AS (
   SELECT product_id, 0 AS a, 0 AS b, product_title AS piece FROM products
-  UNION ALL SELECT product_id, 0, 1, features_json FROM products
-  UNION ALL SELECT product_id, 0, 2, details_json FROM products
+  UNION ALL SELECT product_id, 0, 1, features_json FROM products WHERE main_category <> 'STANDARD'
+  UNION ALL SELECT product_id, 0, 2, details_json FROM products WHERE main_category <> 'STANDARD'
   UNION ALL SELECT product_id, rank, 0, review_title FROM products JOIN ranked
-    USING (parent_asin) WHERE rank <= 5
+    USING (parent_asin) WHERE rank <= 20
   UNION ALL SELECT product_id, rank, 1, review_text FROM products JOIN ranked
-    USING (parent_asin) WHERE rank <= 5),
+    USING (parent_asin) WHERE rank <= 20),
 docs AS (SELECT product_id, string_agg(trim(piece, {_SPACES}), chr(10) ORDER BY a, b) AS document
   FROM parts WHERE trim(piece, {_SPACES}) <> '' GROUP BY 1)
-SELECT product_id, 'P' || product_id AS parent_asin, length(document) AS n_chars,
-  md5(document) AS digest
-FROM docs WHERE length(document) >= 80
+SELECT product_id, parent_asin, length(document) AS n_chars, md5(document) AS digest
+FROM docs JOIN products USING (product_id) WHERE length(document) >= 20
 """
 
 
