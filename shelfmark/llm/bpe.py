@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 
 from shelfmark.llm.common import limit_batches
 
-WORD_CACHE = 200_000  # words, and pieces of text, whose ids a worker remembers
-PAIR_CACHE = 300_000  # token pairs whose compatibility a worker remembers
+WORD_CACHE = 500_000  # words, and pieces of text, whose ids a worker remembers
+PAIR_CACHE = 1_000_000  # token pairs whose compatibility a worker remembers
 _END = 0xE000         # added to a character's code to mark it as the last of its word
 
 
