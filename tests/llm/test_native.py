@@ -2,6 +2,7 @@
 
 import random
 import re
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,23 @@ def test_leaks_against_all_offsets(spark, monkeypatch):
     assert contaminated(spark, texts, items) == want
 
 
+@pytest.mark.parametrize("n", range(11, 21))
+def test_leaks_masks_hit_every_allowed_pattern(n):
+    for wrong in combinations(range(n), n - -(-n * decontaminate.PERCENT // 100)):
+        assert any(not {at + o for o in m} & set(wrong)
+                   for m in decontaminate.MASKS for at in range(n - max(m))), wrong
+
+
+def test_leaks_every_allowed_pattern_is_found(spark):
+    items = {n: block(n, 900 + n) for n in (11, 12, 13, 14, 15)}
+    texts, want = [], []
+    for n, item in items.items():
+        for wrong in combinations(range(n), n - -(-n * 80 // 100)):
+            texts.append(" ".join("zz" if k in wrong else w for k, w in enumerate(item.split())))
+            want.append([n])
+    assert contaminated(spark, texts, items) == dict(enumerate(want))
+
+
 def test_leaks_empty_tables_and_clashing_columns(spark):
     assert contaminated(spark, [], {1: block(20, 1)}) == {}
     assert contaminated(spark, [block(20, 1)], {}) == {0: []}
