@@ -13,9 +13,9 @@ The seeds are broadcast if they were counted to be at most BROADCAST_SEEDS; beyo
 join goes through a shuffle.
 
 Tokens are runs of letters and digits of the lower-cased text. Defined results: NULL or empty texts
-match nothing; items of fewer than ``min_tokens`` tokens are too short to tell and match nothing;
-items shorter than the masks match where all their tokens stand in order; repeated rows and rows
-with a NULL id are judged each for itself; extra columns stay.
+match nothing; items of fewer than MIN_TOKENS tokens are too short to tell and match nothing; items
+shorter than the masks match where all their tokens stand in order, found by one seed of their own
+length; repeated rows and rows with a NULL id are judged each for itself; extra columns stay.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from shelfmark.session import stage
 # place, and so does every overlap that WINDOW and PERCENT allow for items of 11 tokens and more.
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 4, 6, 7, 8), (0, 1, 5, 8, 9, 10), (0, 1, 2, 6, 8, 9))
 SPAN = 11
-MIN_TOKENS = 8
+MIN_TOKENS = 6  # items of fewer tokens are met by chance too often
 WINDOW = 20
 PERCENT = 80
 BROADCAST_SEEDS = 1_000_000  # rows of two numbers, an item and an offset: some 50 MB

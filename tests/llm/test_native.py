@@ -122,6 +122,14 @@ def test_leaks_every_allowed_pattern_is_found(spark):
     assert contaminated(spark, texts, items) == dict(enumerate(want))
 
 
+def test_leaks_short_items_match_exactly(spark):
+    items = {n: block(n, 700 + n) for n in range(4, 11)}
+    texts = [f"{block(3, 720 + n)} {x} end" for n, x in items.items()]
+    texts += [x.rsplit(" ", 1)[0] + " zz" for x in items.values()]
+    want = [[n] if n >= 6 else [] for n in items] + [[] for _ in items]
+    assert contaminated(spark, texts, items) == dict(enumerate(want))
+
+
 def test_leaks_empty_tables_and_clashing_columns(spark):
     assert contaminated(spark, [], {1: block(20, 1)}) == {}
     assert contaminated(spark, [block(20, 1)], {}) == {0: []}
