@@ -37,7 +37,7 @@ BANDS = REGISTERS // BAND
 MANTISSA_BITS = 16        # kept after the leading zeros
 EMPTY = np.uint32(0xFFFFFFFF)
 BLOCK = 512               # members that one side of a task compares
-SIGMAS = 4.0              # the sketch rejects a pair only so far below the threshold
+SIGMAS = 7.5              # so far below the threshold a pair at it falls with less than 1e-9
 WORD_CACHE = 400_000      # word hashes that a task remembers
 
 _DOWN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

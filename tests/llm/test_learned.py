@@ -1,6 +1,7 @@
 """Sketches, vectors, tokens, languages and toxicity against plain forms, the library and labels."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -41,6 +42,18 @@ def test_sketch_groups_equal_brute_force(spark, monkeypatch):
     assert all(x.kept == (i == want[i]) for i, x in got.items())
 
 
+def test_sketch_hardly_ever_rejects_a_pair_at_the_threshold():
+    for n in range(1, hyperminhash.REGISTERS + 1):
+        k = np.arange(n + 1)
+        out = k[~hyperminhash.passes(k, np.full(n + 1, n), 0.8)].tolist()
+        assert sum(math.comb(n, i) * 0.8 ** i * 0.2 ** (n - i) for i in out) < 1e-9, n
+    assert not hyperminhash.passes(np.array([60]), np.array([128]), 0.8)[0]
+    # 400 of 500 shingles shared, but only 84 registers
+    x = np.random.default_rng(199950).integers(0, 2**64, size=500, dtype=np.uint64)
+    a, b = np.sort(x[:450]), np.sort(np.r_[x[:400], x[450:]])
+    assert hyperminhash._alike(hyperminhash.registers(a), hyperminhash.registers(b), a, b, 80)
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(crosspolytope, "BLOCK", 8)
     r = np.random.default_rng(2)
