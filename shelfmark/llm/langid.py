@@ -1,6 +1,7 @@
 """Language identification by compression with one zstandard dictionary per language.
 
-A language's dictionary is the raw text of a bounded sample of its labelled rows. A text is encoded
+A language's dictionary is the raw text of a bounded sample of its labelled rows, one piece of each
+from a place that its hash chooses. A text is encoded
 in blocks with every dictionary; the language whose blocks are smallest in total wins, and a narrow
 margin marks the row as rejected. Whole texts are encoded, lower-cased and block by block, so that a
 long text is judged by the dictionaries all the way and not by its own beginning.
@@ -54,8 +55,12 @@ def train(docs: DataFrame, learn_from: Column, rows: int = SAMPLE_ROWS,
         chosen = chosen | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["limit"]))
     common = [r["lang"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
               .orderBy(F.desc("n"), "lang").collect()]
+    # the hash decides where in the whole text a piece lies, so that a common header is no more
+    # likely to be learned than the body
+    room = F.greatest(F.length("text") - chars, F.lit(0))
+    piece = F.substring("text", F.pmod("h", room + 1).cast("int") + 1, F.lit(chars))
     pieces = (usable.filter(chosen).groupBy("lang", "h")
-              .agg(F.min(F.substring("text", 1, chars)).alias("piece")).collect())
+              .agg(F.min(piece).alias("piece")).collect())
     out: dict[str, list[tuple[int, str]]] = {}
     for r in pieces:
         out.setdefault(r["lang"], []).append((r["h"], r["piece"]))

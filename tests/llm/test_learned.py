@@ -142,6 +142,19 @@ def test_languages(spark):
     assert langid.train(docs, F.lit(False)) == {}
 
 
+def test_languages_are_learned_behind_a_common_header(spark):
+    r = random.Random(9)
+    make = lambda words, n: " ".join(r.choices(words.split(), k=n))
+    de, en = "und der die das nicht mit einem haus", "and the that this not with some house"
+    header = (make(en, 200) + " ")[:600]
+    rows = [(i, header + make(de if i % 3 else en, 600), "de" if i % 3 else "en") for i in range(30)]
+    rows += [(100 + i, make(en if i % 2 else de, 40), None) for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.train(docs, F.col("doc_id") < 100)
+    got = {x.doc_id: x.lang_pred for x in langid.identify(docs, model).collect()}
+    assert all(got[100 + i] == ("en" if i % 2 else "de") for i in range(10))
+
+
 def test_toxicity_ignores_swapped_identity_terms(spark):
     r = random.Random(8)
     rows = []
