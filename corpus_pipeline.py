@@ -34,10 +34,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of smallest id. Five-word shingles, 0.8."""
-    found = hyperminhash.near_duplicates(docs, width=5, percent=80)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group stays: the one of smallest id, rows without an id last. Five-word
+    shingles, 0.8. Of rows with equal id and text one stays; texts without words link with nothing
+    and stay, unless their id is on another such row."""
+    found = stage(hyperminhash.grouped_rows(docs, width=5, percent=80), "near")
+    gone = found.filter(~F.col("kept")).select("row").distinct()
+    twice = (found.filter(F.col("kept") & (F.col("doc_id").isNotNull() | (F.col("n_shingles") > 0)))
+             .groupBy("row").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("row"))
+    rows = docs.withColumn("row", hyperminhash.row_key(docs))
+    single = rows.join(gone.union(twice), "row", "left_anti").select(*docs.columns)
+    whole = F.struct(*docs.columns)
+    again = (rows.join(twice, "row", "left_semi").groupBy("row").agg(F.min(whole).alias("r"))
+             .select("r.*"))
+    return single.union(again)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ Candidate groups are worked through without listing their pairs:
 
 Defined results: NULL, empty or blank text has an empty set and links with nothing; a text of fewer
 words than a shingle is one shingle; repeated rows and ties fall into one class whose component is
-the smallest id; rows with a NULL id take part but name no component; extra columns are ignored.
+the smallest id; rows with a NULL id take part but name no component; of each component one id and
+text is kept, the smallest id first and NULL last; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shelfmark.llm.common import limit_batches
 from shelfmark.llm.components import components
@@ -141,8 +142,13 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Names rows by id and text: ids may be NULL or stand on several texts."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the whole set), sketch; one row per document."""
+    """doc_id, row, n_shingles, set_key (128 bits of the whole set), sketch; one row per document."""
     limit_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,12 +156,13 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t, width, hashes) for t in batch["text"]]
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets],
+                "doc_id": batch["doc_id"], "row": batch["row"],
+                "n_shingles": [len(s) for s in sets],
                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                 "sketch": [registers(s).tobytes() for s in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id bigint, n_shingles bigint, set_key binary, sketch binary")
+    return docs.select("doc_id", "text", row_key(docs).alias("row")).mapInPandas(
+        run, "doc_id bigint, row bigint, n_shingles bigint, set_key binary, sketch binary")
 
 
 def _bands(classes: DataFrame) -> DataFrame:
@@ -182,12 +189,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             sets = [shingle_set(t, width, hashes) for t in batch["text"]]
-            yield pd.DataFrame({"class_id": batch["doc_id"],
+            yield pd.DataFrame({"class_id": batch["class_id"],
                                 "sketch": [registers(s).tobytes() for s in sets],
                                 "shingles": [s.tobytes() for s in sets]})
 
-    named = docs.select("doc_id", "text").join(
-        wanted.select(F.col("class_id").alias("doc_id")), "doc_id")
+    named = (docs.select(row_key(docs).alias("class_id"), "text").join(wanted, "class_id")
+             .dropDuplicates(["class_id"]))
     return stage(named.mapInPandas(run, "class_id bigint, sketch binary, shingles binary"), "sets")
 
 
@@ -319,17 +326,31 @@ def links_between_classes(docs: DataFrame, classes: DataFrame, width: int,
     return first.union(rest)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row per row of ``docs`` (doc_id, text, ...)."""
+def grouped_rows(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, kept; one row per row of ``docs`` (doc_id, text, ...).
+
+    ``row`` is the row_key; equal rows have one and are kept or not together.
+    """
     rows = stage(sketches(docs, width), "sketches")
-    classes = stage(rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-                    .groupBy("set_key").agg(F.min("doc_id").alias("class_id"),
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    classes = stage(rows.filter(F.col("n_shingles") > 0)
+                    .groupBy("set_key").agg(F.min("row").alias("class_id"),
+                                            F.min(first).alias("first"),
                                             F.first("sketch").alias("sketch")), "classes")
     links = links_between_classes(docs, classes.select("class_id", "sketch"), width, percent)
-    grouped = components(links).withColumnRenamed("id", "class_id")
-    placed = classes.select("set_key", "class_id").join(grouped, "class_id", "left").select(
-        "set_key", F.coalesce("component", "class_id").alias("component_id"))
+    # classes without a link are components of their own
+    linked = classes.select("class_id", "first").join(
+        stage(components(links), "grouped").withColumnRenamed("id", "class_id"), "class_id")
+    heads = linked.groupBy("component").agg(F.min("first").alias("head"))
+    heads = linked.join(heads, "component").select("class_id", "head")
+    placed = classes.select("set_key", "class_id", "first").join(heads, "class_id", "left").select(
+        "set_key", F.coalesce("head", "first").alias("head"))
     found = rows.drop("sketch").join(placed, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"),
-                        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("head.doc_id", "doc_id"))
+    return found.select("doc_id", "row", "n_shingles", component.alias("component_id"),
+                        F.coalesce(F.col("row") == F.col("head.row"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row per row of ``docs`` (doc_id, text, ...)."""
+    return grouped_rows(docs, width, percent).drop("row")
