@@ -3,8 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns the
 columns of ``documents``; the last one adds the token ids. ``run`` writes every stage's result as
 Parquet to the shared folder and reads it back as the next one's input, so a lost executor repeats
-one stage at most. There is no SQL for the whole, because the first stage is a trained classifier;
-tests hold the stages against brute force.
+one stage at most. There is no SQL for the whole, because the first stage is a trained classifier.
+The operators beneath are tested against brute force; of the stages as such the line, near-duplicate
+and benchmark ones have tests, on planted rows.
 """
 
 from __future__ import annotations

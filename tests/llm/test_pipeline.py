@@ -32,3 +32,18 @@ def test_near_duplicates_keep_the_clean_text_of_a_repeated_id(spark):
     a, b = block(60, 1), block(60, 2)
     out = corpus_pipeline.drop_near_duplicates(spark, rows(spark, (1, a), (2, a + " x"), (2, b)), "")
     assert left(out) == [(1, a), (2, b)]
+
+
+def test_lines_and_benchmark_stages_on_planted_and_empty_tables(spark, tmp_path):
+    a, b, item = block(60, 1), block(60, 2), block(20, 3)
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    docs = rows(spark, (1, a), (2, a), (3, a + "\nown"), (4, b), (5, None), (5, ""), (None, b + " " + item))
+    lines = corpus_pipeline.drop_repeated_lines(spark, docs, "")
+    assert left(lines) == sorted([(1, a), (3, "own"), (4, b), (5, None), (5, ""),
+                                  (None, b + " " + item)], key=repr)
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert left(clean) == sorted([(1, a), (2, a), (3, a + "\nown"), (4, b), (5, ""), (5, None)],
+                                 key=repr)
+    for step in (corpus_pipeline.drop_repeated_lines, corpus_pipeline.drop_contaminated):
+        assert left(step(spark, rows(spark), str(tmp_path))) == []
