@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import (bpe, chat, crosspolytope, decontaminate, hyperminhash, langid, licenses,
-                           linedup, records, toxicity)
+from shelfmark.llm import (bpe, chat, crosspolytope, decontaminate, hyperminhash, infill, langid,
+                           lexical, licenses, linedup, mixing, records, toxicity)
 from shelfmark.llm.common import id_remainder, table
 
 
@@ -76,6 +76,28 @@ def minhash(spark: SparkSession, sf: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf, "documents"), width=4, percent=80)
 
 
+def infilling(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    key = F.concat(F.lit("1:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    draws = [F.conv(F.substring(F.sha2(key, 256), 8 * k + 1, 8), 16, 10) for k in range(4)]
+    rows = infill.fill_in_middle(docs, draws)
+    back = infill.read_back(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       infill.digest(F.col("pieces"), F.col("text")).alias("output_sha256"),
+                       infill.digest(back, F.col("output")).alias("restored_sha256"))
+
+
+def mixed(spark: SparkSession, sf: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf, "documents"), mixing.in_turn([1, 2, 3]), cap=3,
+                      keep=["doc_id"])
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"),
+                          table(spark, sf, "benchmark").select("item_id", "text"), k=50)
+
+
 QUERIES = {
     "op1_language": language,
     "op2_lines": lines,
@@ -87,6 +109,9 @@ QUERIES = {
     "op8_chat": conversations,
     "op9_toxicity": toxic,
     "op10_hyperminhash": minhash,
+    "op11_infill": infilling,
+    "op12_mix": mixed,
+    "op13_search": ranked,
 }
 
 _LINES = r"""
@@ -167,9 +192,88 @@ SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(low, doc_id)) AS componen
 FROM n LEFT JOIN c USING (doc_id)
 """
 
+_INFILL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), ''))
+    AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units, list_transform([1, 9, 17, 25],
+    lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS d FROM t),
+c AS (SELECT *, len(units) AS n, least(d[1] % (len(units) + 1), d[2] % (len(units) + 1)) AS a,
+    greatest(d[1] % (len(units) + 1), d[2] % (len(units) + 1)) AS b,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR d[3] % 100 >= 90 THEN 'plain'
+        WHEN d[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid,
+    array_to_string(units[b + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM p
+"""
+
+_MIX = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    (CAST('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':'
+        || coalesce(text, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+    FROM documents),
+z AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight,
+    3 * source_size AS most, sum(source_size) OVER () AS all_words FROM z),
+l AS (SELECT *, most / weight AS cap, all_words - coalesce(sum(most) OVER (ORDER BY most / weight, source
+        NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(weight) OVER (ORDER BY most / weight, source NULLS LAST
+        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM w),
+s AS (SELECT *, most * weights <= weight * rest AS is_full FROM l),
+g AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(most AS DOUBLE) ELSE
+    CAST(weight * (SELECT arg_min(rest, cap) FROM s WHERE NOT is_full) AS DOUBLE)
+    / (SELECT arg_min(weights, cap) FROM s WHERE NOT is_full) END AS target FROM s),
+c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE,
+    target / source_size) ELSE 0.0::DOUBLE END AS wanted
+    FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT *, CAST(floor(wanted) AS BIGINT) AS sure, (u / (1 - u))
+    / ((wanted - floor(wanted)) / nullif(1 - (wanted - floor(wanted)), 0)) AS odds FROM c),
+r AS (SELECT *, CASE WHEN wanted > sure THEN odds / (1 + odds) ELSE 1.0::DOUBLE END AS p,
+    target - sum(sure * size) OVER (PARTITION BY source) AS open FROM q),
+o AS (SELECT *, sum(size) FILTER (sure < 3) OVER (PARTITION BY source ORDER BY p, u, row) AS upto FROM r),
+k AS (SELECT *, sure < 3 AND upto <= open AS more FROM o),
+k1 AS (SELECT *, open - coalesce(sum(size) FILTER (more) OVER (PARTITION BY source), 0) AS gap FROM k),
+f1 AS (SELECT source, arg_min(row, {'a': gap - size, 'p': p, 'u': u, 'r': row}) AS row FROM k1
+    WHERE NOT more AND sure < 3 AND size > 0 AND size <= gap GROUP BY source),
+k2 AS (SELECT k1.* REPLACE (more OR row IN (SELECT row FROM f1) AS more) FROM k1),
+k3 AS (SELECT * REPLACE (open - coalesce(sum(size) FILTER (more) OVER (PARTITION BY source), 0) AS gap)
+    FROM k2),
+f2 AS (SELECT source, arg_min(row, {'a': abs(gap - size), 'p': p, 'u': u, 'r': row}) AS row FROM k3
+    WHERE NOT more AND sure < 3 AND size > 0 AND abs(gap - size) < gap GROUP BY source)
+SELECT doc_id, size, source_size, target, CAST((sure + CASE WHEN more OR row IN (SELECT row FROM f2)
+    THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM k3
+"""
+
+_SEARCH = r"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+d AS (SELECT row, doc_id, len(words) AS n FROM t WHERE len(words) > 0),
+a AS (SELECT count(*) AS docs, sum(n) AS terms FROM d),
+f AS (SELECT row, x, count(*) AS tf FROM (SELECT row, unnest(words) AS x FROM t) GROUP BY ALL),
+w AS (SELECT x, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM f, a GROUP BY x, docs),
+q AS (SELECT DISTINCT item, item_id, x FROM (SELECT row_number() OVER () AS item, item_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS x FROM benchmark)),
+s AS (SELECT item, item_id, doc_id, CAST(sum(w * ((1000000000 * tf)
+        // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms))))) AS BIGINT) AS score
+    FROM q JOIN w USING (x) JOIN f USING (x) JOIN d USING (row), a GROUP BY item, item_id, row, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s
+    WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 SQL: dict[str, str] = {
     "op2_lines": _LINES,
     "op3_vectors": _VECTORS,
     "op8_chat": _CHAT,
     "op10_hyperminhash": _NEAR,
+    "op11_infill": _INFILL,
+    "op12_mix": _MIX,
+    "op13_search": _SEARCH,
 }
