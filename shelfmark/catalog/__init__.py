@@ -3,9 +3,9 @@
 Every module holds ``QUERIES`` (name to function of session and table folder) and ``SQL``.
 """
 
-from shelfmark.catalog import audit, cleaning, filters, selection, text, vectors
+from shelfmark.catalog import audit, cleaning, files, filters, selection, text, vectors
 
-_MODULES = [cleaning, selection, filters, text, vectors, audit]
+_MODULES = [cleaning, files, selection, filters, text, vectors, audit]
 
 
 def queries():

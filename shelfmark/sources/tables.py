@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from shelfmark.functions.text import strip
+from shelfmark.sources.chunks import csv_lines, pieces, records, split_starts
 
 _CSV = {"header": True, "quote": '"', "escape": '"', "multiLine": True}
+_CELLS = {"quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n"}
 DELIMITERS = [",", ";", "\t", "|"]
 
 
@@ -19,15 +22,32 @@ def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
+def csv_records(spark: SparkSession, paths: str | list[str], schema: T.StructType,
+                sep: str = ",") -> DataFrame:
+    """``(file, position, cells)``: the rows of CSV files with a header. Cells may hold line breaks;
+    a file is still read by as many tasks as it has splits.
+
+    Rows end with LF or CRLF. Blank rows are dropped, as is the first row of each file.
+    """
+    form = csv_lines(sep)
+    found = pieces(spark, paths, form.separator)
+    rows = records(found, split_starts(found, form), form)
+    rows = rows.filter((F.col("position.block") > 0) | (F.col("position.row") > 0))
+    text = F.regexp_replace("text", "\r$", "")
+    cells = F.from_csv(text, _ddl(schema), {**_CELLS, "sep": sep})
+    return rows.filter(text != "").select("file", "position", cells.alias("cells"))
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType,
              single_line: bool = False) -> DataFrame:
     """CSV files with a header as one table of the declared types.
 
-    Empty cells are NULL. Quoted cells may hold line breaks, which keeps a file in one task;
-    ``single_line`` lets Spark split files that are known to hold none.
+    Empty cells are NULL. Quoted cells may hold line breaks; ``single_line`` saves the pass that
+    finds out where rows begin, for files that are known to hold none.
     """
-    options = {**_CSV, "multiLine": not single_line}
-    return spark.read.schema(schema).options(**options).csv(paths)
+    if not single_line:
+        return csv_records(spark, paths, schema).select("cells.*")
+    return spark.read.schema(schema).options(**{**_CSV, "multiLine": False}).csv(paths)
 
 
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +55,11 @@ def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.options(**_CSV, inferSchema=True).csv(path)
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}"
+                     for f in schema.fields)
+
+
 def _delimiter_in(header: str) -> str:
     """The delimiter seen most often outside quotes; a comma when there is none."""
     bare = re.sub(r'"[^"]*"', "", header)
@@ -70,24 +95,30 @@ def read_key_columns(spark: SparkSession, paths: list[str], key: str, require_ke
 
     ``file`` is the whole path, ``position`` orders the rows of a file, the key is trimmed and
     blank is NULL. Files without the key column give NULL keys, or fail with ``require_key``.
-    ``single_line`` lets Spark split files that hold no line breaks in cells.
+    Rows are split across tasks; ``single_line`` saves a pass over files without line breaks in
+    cells.
     """
-    options = {**_CSV, "multiLine": not single_line}
     united = spark.createDataFrame([], "file string, position struct<block: bigint, row: bigint>, "
                                        "key string")
     for header, files in csv_headers(spark, paths).items():
-        rows = spark.read.options(**options, sep=delimiter or _delimiter_in(header)).csv(files)
-        if key in rows.columns:
-            value = F.nullif(strip(F.col(f"`{key}`").cast("string")), F.lit(""))
-        elif require_key:
-            raise ValueError(f"{files[0]}: no column {key!r} in {rows.columns}")
+        sep = delimiter or _delimiter_in(header)
+        names = next(csv.reader([header], delimiter=sep), [])
+        if require_key and key not in names:
+            raise ValueError(f"{files[0]}: no column {key!r} in {names}")
+        if single_line:
+            rows = spark.read.options(**{**_CSV, "multiLine": False}, sep=sep).csv(files)
+            cell = F.col(f"`{key}`") if key in names else F.lit(None)
+            rows = rows.select(F.col("_metadata.file_path").alias("file"),
+                               F.struct(F.col("_metadata.file_block_start").alias("block"),
+                                        F.monotonically_increasing_id().alias("row"))
+                               .alias("position"), cell.alias("cell"))
         else:
-            value = F.lit(None).cast("string")
-        united = united.unionByName(rows.select(
-            F.col("_metadata.file_path").alias("file"),
-            F.struct(F.col("_metadata.file_block_start").alias("block"),
-                     F.monotonically_increasing_id().alias("row")).alias("position"),
-            value.alias("key")))
+            # by place, so that names that repeat or clash do no harm
+            cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+            cell = F.col(f"cells.c{names.index(key)}") if key in names else F.lit(None)
+            rows = csv_records(spark, files, cells, sep).select("file", "position", cell.alias("cell"))
+        value = F.nullif(strip(F.col("cell").cast("string")), F.lit(""))
+        united = united.unionByName(rows.select("file", "position", value.alias("key")))
     return united
 
 
