@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfmark.session import deal
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table with long texts."""
-    return table(spark, sf, name)
+    """A table with long texts, over all cores."""
+    return deal(table(spark, sf, name))
 
 
 def products(spark: SparkSession, sf: str) -> DataFrame:

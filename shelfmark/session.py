@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -67,13 +67,18 @@ def release(spark: SparkSession, *paths: str) -> None:
             mine.remove(path)
 
 
-def deal(df: DataFrame, key: str) -> DataFrame:
-    """Rows dealt by ``key`` over the session's shuffle partitions, whatever the files look like.
+def deal(df: DataFrame) -> DataFrame:
+    """Rows of a scan dealt over the shuffle partitions, if fewer tasks than cores have any.
 
-    For steps whose work per byte is far above that of moving the bytes once. The number is given,
-    so small partitions are not merged again.
+    For steps whose work per byte is far above that of moving the bytes once. A table that fills
+    the cores by itself is never moved, so what is moved is at most a few files. Counting the tasks
+    reads no column.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    spark = df.sparkSession
+    tasks = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1))).count()
+    if tasks >= spark.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
