@@ -139,3 +139,41 @@ def test_trained_profiles_on_unseen_texts(spark):
     judged = with_english(docs.filter(unseen), "doc_id", "text", profiles)
     right = judged.filter(F.col("is_english") == (F.col("lang") == "en")).count()
     assert right >= 0.95 * judged.count()
+
+
+def test_phrases_around_the_exact_length(spark, monkeypatch):
+    """Lengths where one window turns into two, repeats of a window in a row, no filter at all."""
+    from shelfmark.operators import phrases
+    random.seed(10)
+    lengths = [1, 2, 3, 15, 16, 17, 18, 31, 32, 33, 34, 63, 64, 65, 129]
+    docs = [(i, " ".join(random.choices("abc", k=240))) for i in range(12)] + [(50, "a " * 140)]
+    asked = {" ".join(d.split()[s:s + n]) for n in lengths for _, d in docs for s in (0, 3, 100)}
+    asked |= {" ".join("a" * n) for n in lengths}
+    want = {(p, i) for p in asked for i, d in docs if f" {p} " in f" {' '.join(d.split())} "}
+    bodies = search_bodies(spark.createDataFrame(docs, "id long, f string"), "id", ["f"])
+    frame = phrase_frame(spark, [("f", p) for p in sorted(asked)]).drop("raw")
+    for step, bits in ((1 << 20, 27), (50, 27), (1 << 20, 4)):
+        monkeypatch.setattr(phrases, "STEP_TOKENS", step)
+        monkeypatch.setattr(phrases, "LEAST_BITS", min(bits, 16))
+        monkeypatch.setattr(phrases, "FILTER_BITS", bits)
+        got = {(r.phrase.strip(), r.row_id) for r in phrase_matches(bodies, frame).collect()}
+        assert got == want
+        counts = {r.phrase.strip(): r.match_count for r in phrase_counts(bodies, frame).collect()}
+        assert counts == {p: sum(q == p for q, _ in want) for p, _ in want}
+
+
+def test_candidates_stay_near_the_matches(spark):
+    """Places that are looked up, against places that match, on common words."""
+    from shelfmark.operators import phrases
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bodies = search_bodies(docs, "doc_id", ["text"])
+    words = F.split(F.trim("body"), " ")
+    asked = bodies.filter(F.size(words) > 60).select(
+        "field", F.explode(F.array(*[F.concat(F.lit(" "), F.array_join(F.slice(words, at, n), " "), F.lit(" "))
+                                     for at, n in ((1, 2), (5, 3), (9, 5), (20, 7), (30, 20))]))
+        .alias("phrase")).distinct()
+    described = phrases.describe_phrases(asked)
+    index = phrases.window_index(bodies, described)
+    anchors = phrases.phrase_anchors(index, described)
+    tried = anchors.agg(F.sum("documents")).first()[0]
+    assert tried <= 2 * phrases.ids_in(index, anchors).count()
