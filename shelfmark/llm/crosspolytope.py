@@ -12,6 +12,8 @@ in the first of them only.
 Defined results: vectors that are NULL, empty, zero or hold NULL or non-finite components, and
 vectors with a NULL label, link with nothing and keep themselves; vectors of different length are
 never compared; a NULL vec_id links with nothing (component NULL, kept); extra columns are ignored.
+Every row is a vector of its own: rows that share a vec_id are told apart by label and vector, and
+repeated rows link with each other. No rows give no rows.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def _hashed(classes: DataFrame) -> DataFrame:
             for _, part in batch.groupby(batch["vector"].map(len), sort=False):
                 units = unit(np.stack([np.asarray(v, np.float64) for v in part["vector"]]))
                 home, visits = buckets(units)
-                out = part[["class_id", "label", "copies", "vector"]].copy()
+                out = part[["class_id", "label", "copies", "low_id", "vector"]].copy()
                 out["home"] = [h.tobytes() for h in home]
                 out["visits"] = [v.tobytes() for v in visits]
                 yield out
@@ -101,7 +103,7 @@ def _hashed(classes: DataFrame) -> DataFrame:
     kind = classes.schema["vector"].dataType.simpleString()
     label = classes.schema["label"].dataType.simpleString()
     return classes.mapInPandas(run, f"class_id bigint, label {label}, copies bigint, "
-                                    f"vector {kind}, home binary, visits binary")
+                                    f"low_id bigint, vector {kind}, home binary, visits binary")
 
 
 _GROUP = ["label", "width", "t", "code"]
@@ -205,11 +207,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     ``vectors``: vec_id, embedding (array of float or double), label (any comparable type).
     """
     rows = vectors.select(
-        "vec_id", "label", F.when(_is_vector(F.col("embedding")) & F.col("vec_id").isNotNull()
+        F.col("vec_id").cast("bigint").alias("vec_id"), "label", F.when(_is_vector(F.col("embedding")) & F.col("vec_id").isNotNull()
                                   & F.col("label").isNotNull(), F.col("embedding")).alias("vector"))
     classes = (rows.filter(F.col("vector").isNotNull()).groupBy("label", "vector")
-               .agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
-    hashed = stage(_hashed(classes), "vectors")
+               .agg(F.min("vec_id").alias("low_id"), F.count(F.lit(1)).alias("copies")))
+    # a class has a number of its own, because ids may repeat; staged, so that it stays the same
+    hashed = stage(_hashed(classes.withColumn("class_id", F.monotonically_increasing_id())), "vectors")
     members = stage(_members(hashed), "buckets")
     shared = (members.groupBy(*_GROUP)
               .agg(F.count(F.lit(1)).alias("members"), F.max("lives").alias("lived_in"))
@@ -225,12 +228,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
               .agg(F.sum("b").alias("links")))
     grouped = components(found.filter(F.col("kind") == 1).select("a", "b")).select(
         F.col("id").alias("class_id"), F.col("component"))
-    known = (hashed.select("label", "vector", "class_id", "copies")
-             .join(counts, "class_id", "left").join(grouped, "class_id", "left"))
-    named = rows.join(known, ["label", "vector"], "left")
-    component = F.when(F.col("vec_id").isNotNull(),
-                       F.coalesce("component", "class_id", "vec_id"))
-    links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
-    return named.select("vec_id", links.cast("bigint").alias("n_links"),
-                        component.alias("component_id"),
-                        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    linked = stage(hashed.select("class_id", "low_id").join(grouped, "class_id"), "linked")
+    lowest = linked.groupBy("component").agg(F.min("low_id").alias("lowest"))
+    linked = linked.join(lowest, "component").select("class_id", "lowest")
+    known = (hashed.select("label", "vector", "class_id", "low_id", "copies")
+             .join(counts, "class_id", "left").join(linked, "class_id", "left"))
+    able = F.col("vector").isNotNull()
+    named = rows.filter(able).join(known, ["label", "vector"])
+    component = F.coalesce("lowest", "low_id")
+    links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    found = named.select("vec_id", links.cast("bigint").alias("n_links"),
+                         component.alias("component_id"),
+                         (F.col("vec_id") == component).alias("kept"))
+    alone = rows.filter(~able).select("vec_id", F.lit(0).cast("bigint").alias("n_links"),
+                                      F.col("vec_id").alias("component_id"),
+                                      F.lit(True).alias("kept"))
+    return found.unionByName(alone)

@@ -21,6 +21,7 @@ no records; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -28,15 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from shelfmark.llm.bpe import Recent, cut
+from shelfmark.llm.bpe import WORD_CACHE, Recent
 from shelfmark.llm.common import limit_batches
 from shelfmark.session import new_folder, stage
 
 BLOCK_BYTES = 4 << 20
+GATHER_BYTES = 16 << 20    # of texts that are encoded together
 CHUNK = 64                 # bytes of a message that the checksum steps through at once
 HEAD = "<qII"             # of a payload
 INDEX_ENTRY = "<qQII"
@@ -138,6 +141,24 @@ def parse(data: bytes) -> list[bytes]:
     return payloads
 
 
+# A full stop or comma that stays with the symbol before it (İ ends in one once it is lower-cased).
+_SYMBOL_BEFORE = re.compile(r"[.,][ \n](?<=[^\w\s]..)|[.,][ \n](?<=[_İ\x1c-\x1f]..)")
+
+
+def prepared(text: str | None) -> str:
+    """A text whose pieces between blanks are encoded each for itself, with the ids of the whole.
+
+    ASCII text is lower-cased here already, unless it may hold a special token, and full stops and
+    commas at word ends get a blank of their own, unless some symbol comes before one.
+    """
+    text = (text or "").replace("\n", " ")
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
+    if not _SYMBOL_BEFORE.search(text):
+        text = text.replace(". ", " . ").replace(", ", " , ")
+    return text
+
+
 class LibraryEncoder:
     """Texts to id bytes with a tokenizer file of the ``tokenizers`` library.
 
@@ -158,12 +179,7 @@ class LibraryEncoder:
         self.ends = np.zeros(size, bool)
         for name, i in self.tokenizer.get_vocab().items():
             self.ends[i] = name.endswith("</w>")
-        self.fresh: dict[str, bytes] = {}  # new words of the batch at hand
-        self.words = Recent(self._alone)
-        self.pieces = Recent(self._piece)
-
-    def _alone(self, text: str) -> bytes:
-        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.known = Recent(None, 2 * WORD_CACHE)  # pieces and words, filled by ``learn`` alone
 
     def packed(self, ids: list[int]) -> np.ndarray:
         return np.array(ids, self.kind)
@@ -176,21 +192,12 @@ class LibraryEncoder:
             return (word.lower() if word.isascii() else word), piece[len(word):]
         return None
 
-    def _piece(self, piece: str) -> bytes:
-        if not piece:
-            return b""
-        split = self._split(piece)
-        if split is None:
-            return self.words[piece]
-        word, mark = split
-        return (self.fresh.get(word) or self.words[word]) + (self.words[mark] if mark else b"")
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode the new words of a batch together."""
-        pieces, words = self.pieces, self.words
-        unseen = {p for text in texts for p in text if p not in pieces}
-        new = sorted({s[0] for s in map(self._split, unseen) if s and s[0] not in words})
-        self.fresh = {}
+    def learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces; their new words are encoded together."""
+        known, splits = self.known, [self._split(p) for p in missing]
+        parts = {x for s in splits if s for x in s}
+        out = {x: known[x] for x in parts if x in known}
+        new = [x for x in parts if x not in out and x.isalpha()]
         for i in range(0, len(new), 2000):
             some = new[i:i + 2000]
             ids = self.packed(self.tokenizer.encode_batch_fast(
@@ -198,14 +205,36 @@ class LibraryEncoder:
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
                 data, cuts = ids.tobytes(), [0, *(ids.itemsize * ends).tolist()]
-                self.fresh.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
-        for word, found in self.fresh.items():
-            words.keep(word, found)
+                out.update((w, data[a:b]) for w, a, b in zip(some, cuts, cuts[1:]))
+        whole = {p for p, s in zip(missing, splits) if s is None}
+        other = [x for x in {*parts, *whole} if x not in out]
+        out.update(zip(other, (self.packed(e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(
+            other, add_special_tokens=False))))
+        out.update((p, out[s[0]] + out[s[1]]) for p, s in zip(missing, splits) if s)
+        for piece, found in out.items():
+            known.keep(piece, found)
+        return out
+
+    def _distinct(self, pieces: list[str]) -> list[bytes]:
+        found = [self.known.get(p) for p in pieces]
+        new = self.learn([p for p, f in zip(pieces, found) if f is None])
+        return [new[p] if f is None else f for p, f in zip(pieces, found)]
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [cut(t) for t in texts]
-        self.learn(pieces)
-        return [b"".join(map(self.pieces.__getitem__, p)) for p in pieces]
+        """Id bytes of each text: pieces are told apart by the column library, looked up once per
+        batch, and their ids laid out again by place."""
+        lists = pc.split_pattern(pa.array([prepared(t) for t in texts], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        found = self._distinct(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+        ids = pa.LargeListArray.from_arrays(
+            pa.array(np.concatenate([[0], np.cumsum(sizes)])),
+            pa.array(np.frombuffer(b"".join(found), self.kind)))
+        laid = ids.take(coded.indices).flatten().to_numpy(zero_copy_only=False).tobytes()
+        upto = np.concatenate([[0], np.cumsum(sizes[coded.indices.to_numpy()])])
+        pieces = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        cuts = (upto[pieces] * self.kind.itemsize).tolist()
+        return [laid[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 _encoders: dict[str, LibraryEncoder] = {}  # of this worker process, kept from task to task
@@ -217,10 +246,26 @@ def encoder_of(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to GATHER_BYTES, so that fewer pieces are distinct."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHER_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
+#: Record bytes that a task reads back.
+TASK_BYTES = 8 * BLOCK_BYTES
+
 _MANIFEST = "file string, block int, offset bigint, bytes bigint, records bigint, tokens bigint"
 
 
@@ -238,7 +283,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> DataFram
         rows, index, at = [], [], 0
         block = [0, 0, 0]  # offset, records, tokens
         with store.open_output_stream(f"{draft}.records") as out:
-            for batch in batches:
+            for batch in gathered(batches):
                 texts = encoder.batch(batch.column("text").to_pylist())
                 ids = batch.column("doc_id").to_pylist()
                 payloads = [struct.pack(HEAD, d or 0, d is not None, width) + t + end
@@ -284,7 +329,8 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     without partitions.
     """
     files = manifest.groupBy("file").agg(F.sum("tokens").alias("all"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"(\d+)\.records$", 1).cast("bigint")  # names sort as text
+    before = Window.orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (manifest.withColumn("inner", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
@@ -309,7 +355,10 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                     "start": b.start + np.concatenate([[0], np.cumsum(sizes)[:-1]]),
                     "n_tokens": sizes, "ids": [i.tobytes() for i in ids]})
 
-    return blocks.repartition("file", "block").mapInPandas(
+    # the manifest's own rows are tiny, so tasks are sized by the bytes that they will read
+    size = manifest.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(1, -(-size // TASK_BYTES), min(manifest.count(), spark.sparkContext.defaultParallelism))
+    return blocks.repartition(tasks, "file", "block").mapInPandas(
         run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
