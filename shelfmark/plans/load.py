@@ -10,11 +10,12 @@ from shelfmark.operators.update import filter_updates, rejected_updates, set_fil
 from shelfmark.session import stage
 from shelfmark.sources.filters import read_filter_document
 from shelfmark.sources.tables import read_table, write_table
+from shelfmark.sources.versions import read_version, update_table
 
 
 @dataclass
 class Loaded:
-    table: DataFrame    # the products as written to the new path
+    table: DataFrame    # the products as written to the new path or version
     updated: int        # products that got new filters
     unknown: int        # usable entries, one per id, without a product
     rejected: int       # entries without filters or without a whole-number id
@@ -37,3 +38,18 @@ def load_filters(spark: SparkSession, document: str, table: str, out: str,
     return Loaded(written, ids.join(updates, "product_id", "left_semi").count(),
                   updates.join(ids, "product_id", "left_anti").count(),
                   rejected_updates(entries).count())
+
+
+def load_version(spark: SparkSession, document: str, root: str, lines: bool = False) -> Loaded:
+    """Read the document and commit the next version of the product table below ``root``.
+
+    Only the files that hold an updated product are rewritten. Readers of ``root`` see the new
+    version once it is whole; a job that dies before leaves the last one.
+    """
+    entries = stage(read_filter_document(spark, document, lines), "entries")
+    updates = stage(filter_updates(entries), "updates")
+    ids = read_version(spark, root).select("product_id")
+    unknown = updates.join(ids, "product_id", "left_anti").count()
+    updated = ids.join(updates, "product_id", "left_semi").count()
+    table = update_table(spark, root, updates, "product_id", lambda rows: set_filters(rows, updates))
+    return Loaded(table, updated, unknown, rejected_updates(entries).count())
