@@ -1,13 +1,15 @@
-"""Files that one record boundary cannot be found in without reading what stands before."""
+"""Files: arrays and multi-line CSV that are split, pages through an index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.catalog.standins import table
+from shelfmark.catalog.standins import PRODUCTS, products, table
+from shelfmark.operators.selection import count_rows
 from shelfmark.schemas import _struct, _L, _S
 from shelfmark.session import new_folder
 from shelfmark.sources.filters import read_json_array, write_json_arrays
+from shelfmark.sources.pages import read_page, write_paged
 from shelfmark.sources.tables import read_csv, read_key_column, write_csv
 
 
@@ -46,6 +48,24 @@ SELECT doc_id, source, md5('"a,"' || chr(10) || text || '",' || chr(10) || chr(1
   || '"') AS text_md5 FROM documents
 """
 
-QUERIES = {"q_json_array": json_array, "q_csv_multiline": csv_multiline}
+def far_page(spark: SparkSession, sf: str) -> DataFrame:
+    """R2: a page at three quarters of two categories, through the page index."""
+    folder, kinds = new_folder(spark, "paged"), ["PROMO", "SMALL"]
+    rows = products(spark, sf).select("product_id", "main_category", "product_title")
+    write_paged(rows, folder, "product_id", 512, group="main_category")
+    total = count_rows(rows, kinds).first()["rows"]
+    return read_page(spark, folder, "product_id", 3 * total // 4, 100, kinds, "main_category")
 
-SQL = {"q_json_array": _JSON_ARRAY, "q_csv_multiline": _CSV_MULTILINE}
+
+_FAR_PAGE = f"""
+WITH {PRODUCTS},
+placed AS (SELECT product_id, main_category, product_title, count(*) OVER () AS total,
+    row_number() OVER (ORDER BY product_id) AS place
+  FROM products WHERE main_category IN ('PROMO', 'SMALL'))
+SELECT product_id, main_category, product_title FROM placed
+WHERE place > 3 * total // 4 AND place <= 3 * total // 4 + 100
+"""
+
+QUERIES = {"q_far_page": far_page, "q_json_array": json_array, "q_csv_multiline": csv_multiline}
+
+SQL = {"q_far_page": _FAR_PAGE, "q_json_array": _JSON_ARRAY, "q_csv_multiline": _CSV_MULTILINE}

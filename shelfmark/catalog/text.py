@@ -10,6 +10,7 @@ from shelfmark.functions.text import (NO_TOKENS, entity_phrases, json_leaves, pa
                                       tokens)
 from shelfmark.operators.phrases import phrase_counts, phrase_matches, postings, search_bodies, \
     token_stats
+from shelfmark.operators.stored_index import decode_blocks, lookup, store_index
 from shelfmark.session import new_folder, stage
 from shelfmark.sources.tables import write_table
 
@@ -56,6 +57,12 @@ SELECT 'text' AS field, token, doc_id AS row_id, (i - 1)::INTEGER AS pos FROM (
 """
 
 
+def posting_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored index, its delta-coded blocks decoded again."""
+    stored = store_index(_document_bodies(spark, sf), new_folder(spark, "stored-index"))
+    return decode_blocks(stored.table(stored.blocks))
+
+
 def _passages(spark: SparkSession, sf: str) -> DataFrame:
     """Every whole passage and every sentence of the benchmark as a phrase."""
     rows = texts(spark, sf, "benchmark")
@@ -102,6 +109,13 @@ FROM phrases JOIN bodies ON contains(body, phrase) GROUP BY 1
 """
 
 
+def stored_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """The same matches through the stored index."""
+    stored = store_index(_document_bodies(spark, sf), new_folder(spark, "stored-index"))
+    found = lookup(stored, _passages(spark, sf))
+    return found.select(F.lower(F.hex("phrase_id")).alias("phrase_md5"), F.col("row_id").alias("doc_id"))
+
+
 def leaves(spark: SparkSession, sf: str) -> DataFrame:
     """T5: scalar values of the nested product details, any depth, in text order."""
     rows = products(spark, sf).select("product_id", json_leaves(F.col("details_json"))
@@ -152,12 +166,14 @@ FROM pages
 
 QUERIES = {
     "q_tokens": token_lists, "q_index": index, "q_postings": posting_rows,
-    "q_phrase_match": phrase_match, "q_phrase_count": phrase_count, "q_json_leaves": leaves,
+    "q_phrase_match": phrase_match, "q_phrase_count": phrase_count, "q_postings_blocks": posting_blocks,
+    "q_stored_phrases": stored_phrases, "q_json_leaves": leaves,
     "q_entities": entities, "q_text_functions": stripped,
 }
 
 SQL = {
     "q_tokens": _TOKEN_LISTS, "q_index": _INDEX, "q_postings": _POSTING_ROWS,
-    "q_phrase_match": _PHRASE_MATCH, "q_phrase_count": _PHRASE_COUNT,
+    "q_phrase_match": _PHRASE_MATCH, "q_phrase_count": _PHRASE_COUNT, "q_postings_blocks": _POSTING_ROWS,
+    "q_stored_phrases": _PHRASE_MATCH,
     "q_json_leaves": _JSON_LEAVES, "q_entities": _ENTITIES, "q_text_functions": _STRIPPED,
 }
