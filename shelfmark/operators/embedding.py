@@ -18,20 +18,32 @@ from shelfmark.functions.vector import l2_normalize, to_float32, zero_if_missing
 
 VECTOR_SIZE = 64
 
+#: Parts that the reviews of a product are ranked in first, where ``k`` is above the engine's limit.
+PARTS = 64
+
 
 def top_reviews(reviews: DataFrame, k: int = REVIEWS_PER_PRODUCT, key: str = "parent_asin",
                 votes: str = "helpful_vote", ties: list[Column] | None = None) -> DataFrame:
     """The ``k`` most helpful reviews per product with their ``rank``; missing votes last.
 
-    The engine applies the limit per key before the shuffle as well, so a product with a third of
-    all reviews sends at most ``k`` rows per task. It does so up to the session's
-    ``spark.sql.optimizer.windowGroupLimitThreshold``; raise that together with ``k``.
+    A product with a third of all reviews is never ranked in one task. Up to the session's
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` the engine keeps ``k`` rows per key and task
+    before the shuffle. Above it a first level ranks ``PARTS`` parts of each product apart, and the
+    second one sees at most ``PARTS * k`` rows of it.
     """
     ties = ties if ties is not None else [F.col("review_ts").desc_nulls_last(), F.col("user_id"),
                                           F.col("review_title"), F.col("review_text")]
     keyed = reviews.filter(F.col(key).isNotNull() & (F.col(key) != ""))
-    order = W.partitionBy(key).orderBy(F.col(votes).desc_nulls_last(), *ties)
-    return keyed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    order = [F.col(votes).desc_nulls_last(), *ties]
+    limit = int(reviews.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if k > limit:
+        part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS))
+        parted = W.partitionBy(key, "__part").orderBy(*order)
+        keyed = (keyed.withColumn("__part", part)
+                 .withColumn("__rank", F.row_number().over(parted)).filter(F.col("__rank") <= k)
+                 .drop("__part", "__rank"))
+    return (keyed.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+            .filter(F.col("rank") <= k))
 
 
 def review_parts(ranked: DataFrame, key: str = "parent_asin", title: str = "review_title",
