@@ -159,7 +159,7 @@ def shards(spark: SparkSession, sf: str) -> DataFrame:
     write_shards(rows.filter(F.col("parent_asin") < "5"), f"{parts}/run=1", "product_id", 64)
     left = not_yet_done(rows, read_table(spark, parts))
     write_shards(left, f"{parts}/run=2", "product_id", 64)
-    whole = compact_shards(spark, parts, out, 2)
+    whole = compact_shards(spark, parts, out, 2, key="product_id")
     return whole.select("product_id", "parent_asin", F.size("vector").cast("bigint").alias("dim"),
                         F.get("vector", F.lit(0)).cast("double").alias("first"))
 

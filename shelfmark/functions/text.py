@@ -62,17 +62,6 @@ def padded_tokens(padded_text: Column) -> Column:
     return F.split(F.trim(padded_text), " ")
 
 
-def bigrams(token_array: Column) -> Column:
-    """Adjacent token pairs, each as ``"a b"``.
-
-    Both sides are slices, because a lambda that refers to the whole array would build it again
-    for every element.
-    """
-    rest = F.greatest(F.size(token_array) - 1, F.lit(0))
-    return F.zip_with(F.slice(token_array, F.lit(1), rest), F.slice(token_array, F.lit(2), rest),
-                      lambda a, b: F.concat(a, F.lit(" "), b))
-
-
 def is_json(text: Column) -> Column:
     """Whether a text is one JSON value and nothing else.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.functions.text import strip
 
 
 def subset(queries: DataFrame, column: str = "small_version", value=1) -> DataFrame:
@@ -27,11 +26,6 @@ def same_text(a: Column, b: Column) -> Column:
     return F.lower(a) == F.lower(b)
 
 
-def long_enough(document: Column, min_chars: int) -> Column:
-    """minimum length in characters."""
-    return F.char_length(document) >= min_chars
-
-
 def distinct_keys(df: DataFrame, column: str, alias: str | None = None) -> DataFrame:
     """A3: distinct filled keys, as a DataFrame."""
     name = alias or column
@@ -93,7 +87,3 @@ def page(df: DataFrame, start: int, limit: int, key: str = "product_id",
 def page_of(key: Column, page_size: int) -> Column:
     """The page a dense key falls on, without sorting."""
     return F.floor(key / F.lit(page_size)).cast("bigint")
-
-
-def blank(column: Column) -> Column:
-    return column.isNull() | (strip(column) == "")

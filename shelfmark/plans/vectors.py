@@ -35,4 +35,4 @@ def build_vectors(products: DataFrame, reviews: DataFrame, shards: str,
 
 def compact(spark: SparkSession, shards: str, out: str, files: int = 1) -> DataFrame:
     """The shards as one table."""
-    return compact_shards(spark, shards, out, files)
+    return compact_shards(spark, shards, out, files, key="product_id")

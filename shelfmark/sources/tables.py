@@ -187,13 +187,14 @@ def write_shards(df: DataFrame, path: str, key: str, rows_per_file: int,
 
 
 def compact_shards(spark: SparkSession, shards: str, out: str, files: int,
-                   vector: str = "vector") -> DataFrame:
-    """Rewrite many small shards as few files; all vectors must have one length."""
+                   vector: str = "vector", key: str | None = None) -> DataFrame:
+    """Rewrite many small shards as few files, in order of ``key`` if given. All vectors must
+    have one length; nothing is written otherwise."""
     table = spark.read.parquet(shards)
-    widths = Observation()
-    (table.observe(widths, F.min(F.size(vector)).alias("low"), F.max(F.size(vector)).alias("high"))
-     .repartition(files).write.mode("overwrite").parquet(out))
-    low, high = widths.get["low"], widths.get["high"]
+    low, high = table.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
     if low != high:
         raise ValueError(f"vectors differ in length: {low} to {high}")
+    few = (table.repartitionByRange(files, key).sortWithinPartitions(key) if key
+           else table.repartition(files))
+    few.write.mode("overwrite").parquet(out)
     return spark.read.parquet(out)

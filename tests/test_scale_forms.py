@@ -45,3 +45,16 @@ def test_top_reviews_of_any_k(spark):
     want = {(k, i + 1, n) for k, v in by.items() for i, (_, n) in enumerate(sorted(v)[:5000])}
     assert {(x.parent_asin, x.rank, x.n) for x in got.collect()} == want
     assert got.filter("parent_asin = 'hot'").count() == 5000
+
+
+def test_compaction_writes_nothing_of_mixed_lengths(spark, tmp_path):
+    import pytest
+    from shelfmark.sources.tables import compact_shards
+    rows = spark.createDataFrame([(3, [1.0, 2.0]), (1, [3.0]), (2, [4.0, 5.0])], "k int, vector array<double>")
+    rows.write.parquet(str(tmp_path / "in"))
+    with pytest.raises(ValueError, match="differ"):
+        compact_shards(spark, str(tmp_path / "in"), str(tmp_path / "out"), 1)
+    assert not (tmp_path / "out").exists()
+    rows.filter("k > 1").write.parquet(str(tmp_path / "same"))
+    whole = compact_shards(spark, str(tmp_path / "same"), str(tmp_path / "out"), 1, key="k")
+    assert [r.k for r in whole.collect()] == [2, 3]
