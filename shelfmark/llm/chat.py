@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfmark.llm.common import running
+
 OPEN, SEP, CLOSE, END = "### ", ": ", "</turn>", "</turn>\n"
 LOSS_ROLE = "assistant"
 
@@ -80,13 +82,8 @@ def render(turns: Column) -> Column:
 
 def _starts(pieces: Column) -> Column:
     """Position (from 0, in characters) of each piece in the formatted text."""
-    step = F.aggregate(
-        pieces, F.struct(F.lit(0).cast("bigint").alias("at"),
-                         F.array().cast("array<bigint>").alias("starts")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p) + len(END)).cast("bigint").alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))
-    return step["starts"]
+    sizes = F.transform(pieces, lambda p: (F.length(p) + len(END)).cast("bigint"))
+    return running(sizes, F.lit(0).cast("bigint"), "bigint", lambda at, n: at + n)
 
 
 def loss_spans(formatted: Column, role: str = LOSS_ROLE) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -9,6 +11,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows that one Arrow batch may hold at most. Texts are whole, so a batch must stay small.
 BATCH_ROWS = 1000
 
+PIECE = 256  # items that ``running`` folds at a time
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,3 +37,26 @@ def limit_batches(spark: SparkSession) -> None:
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
+
+
+def running(items: Column, zero: Column, kind: str, fold: Callable[[Column, Column], Column]) -> Column:
+    """array<kind>: for each item the fold over all items before it; NULL for a NULL array.
+
+    An array that grows item by item is copied every time, so states are first taken at the pieces
+    of ``PIECE`` items and then within each piece.
+    """
+    none, states = F.array().cast(f"array<{kind}>"), f"struct<at:{kind},out:array<{kind}>>"
+
+    def scan(parts: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+        return F.aggregate(
+            parts, F.struct(start.alias("at"), none.alias("out")).cast(states),
+            lambda acc, x: F.struct(step(acc["at"], x).cast(kind).alias("at"), F.concat(
+                acc["out"], F.array(acc["at"])).alias("out")).cast(states))["out"]
+
+    count = F.greatest(F.ceil(F.size(items) / PIECE), F.lit(1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), count - 1),
+                         lambda k: F.slice(items, k * PIECE + 1, F.lit(PIECE)))
+    pieces = F.when(items.isNotNull(), pieces)
+    starts = scan(pieces, zero, lambda at, piece: F.aggregate(
+        piece, at, lambda a, x: fold(a, x).cast(kind)))
+    return F.flatten(F.zip_with(pieces, starts, lambda piece, at: scan(piece, at, fold)))

@@ -1,7 +1,8 @@
 r"""License scan with ordered signature rules.
 
-Rules are regular expressions, written per license and per kind of notice, each with a keyword, a
-priority and a label. A text that holds none of a few gate words is passed over; of the others, only
+Rules are regular expressions, each with a keyword, a priority and a label: hand-written signatures of
+license texts, grants and headers (``license_rules``), and per license name the ways in which it is
+named. Labels hold the version where the wording tells it, else the family. A text that holds none of a few gate words is passed over; of the others, only
 rules whose keyword occurs are tried. Detections that lie within another one of the same or a higher
 priority are suppressed; of equal intervals the higher priority, then the earlier rule, stays.
 
@@ -19,7 +20,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.llm.common import ascii_lower
+from shelfmark.llm.common import ascii_lower, running
+from shelfmark.llm.license_rules import SIGNATURES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -36,11 +38,9 @@ LICENSES = (
     ("artistic", "artistic-2.0", ("artistic license", "perl artistic license"), "artistic"),
     ("beerware", "beerware", ("beerware license", "beer ware license"), "beer"),
     ("boost", "bsl-1.0", ("boost software license", "boost license"), "boost"),
-    ("bsd", "bsd-3-clause", ("bsd license", "3 clause bsd license", "new bsd license"), "bsd"),
-    ("bsd", "bsd-2-clause", ("2 clause bsd license", "simplified bsd license",
-                             "freebsd license"), "bsd"),
-    ("bsd", "0bsd", ("zero clause bsd license", "bsd zero clause license"), "bsd"),
-    ("bsd", "bsd-4-clause", ("original bsd license", "4 clause bsd license"), "bsd"),
+    ("bsd", "bsd", ("bsd license",), "bsd"),
+    ("bsd", "bsd-2-clause", (), "bsd"), ("bsd", "bsd-3-clause", (), "bsd"),
+    ("bsd", "bsd-4-clause", (), "bsd"), ("bsd", "0bsd", (), "bsd"),
     ("busl", "busl-1.1", ("business source license",), "business"),
     ("cc-by", "cc-by-4.0", ("creative commons attribution license",
                             "creative commons attribution 4 0 international"), "creative"),
@@ -61,7 +61,7 @@ LICENSES = (
                           "european union public licence"), "european"),
     ("gfdl", "gfdl-1.3", ("gnu free documentation license",), "gnu"),
     ("gpl", "gpl-3.0", ("gnu general public license", "gnu gpl", "gplv3", "gplv2"), "gnu|gpl"),
-    ("gpl", "gpl-2.0", ("general public license version 2",), "general"),
+    ("gpl", "gpl-2.0", (), "gnu"), ("gpl", "gpl-1.0", (), "gnu"),
     ("hpnd", "hpnd", ("historical permission notice and disclaimer",), "historical"),
     ("ibm", "ipl-1.0", ("ibm public license",), "ibm"),
     ("isc", "isc", ("isc license", "internet systems consortium license"), "isc|internet"),
@@ -95,25 +95,6 @@ LICENSES = (
     ("zlib", "zlib", ("zlib license", "zlib libpng license"), "zlib"),
     ("zpl", "zpl-2.1", ("zope public license",), "zope"),
 )
-# Sentences of license texts, label and pattern (words).
-NOTICES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "the above copyright notice and this permission notice shall be included"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification"),
-    ("bsd", "redistributions of source code must retain the above copyright notice"),
-    ("bsd", "neither the name of the copyright holder nor the names of its contributors"),
-    ("apache", "unless required by applicable law or agreed to in writing software distributed "
-               "under the license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the "
-            "terms of the gnu"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("zlib", "altered source versions must be plainly marked as such"),
-    ("boost", "permission is hereby granted free of charge to any person or organization"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("proprietary", "all rights reserved"),
-    ("copyright", "copyright c"),
-)
 CONFIDENCE = {3: 0.95, 2: 0.85, 1: 0.6, 0: 0.3}
 #: A text without any of these has no detection; a test holds every rule against them.
 GATES = ("licen", "copyright", "gpl", "cc0", "domain", "wtfpl", "creative", "reserved", "altered",
@@ -121,6 +102,10 @@ GATES = ("licen", "copyright", "gpl", "cc0", "domain", "wtfpl", "creative", "res
 GATE_PATTERN = "cc" + GAP + "by"
 
 
+VERSION = r"([0-9]+)(\.[0-9]+)?[.0-9]*$"
+NO_WORD_BEFORE, NO_WORD_AFTER = r"(?<![a-z0-9])", r"(?![a-z0-9])"
+
+
 def _words(words: str) -> str:
     return GAP.join(re.escape(w) for w in words.split())
 
@@ -128,8 +113,9 @@ def _words(words: str) -> str:
 def rules() -> list[tuple[int, str, int, str, str]]:
     """(number, label, priority, keyword, pattern) in order.
 
-    Per license: its identifier after the SPDX mark, and per name a grant, a versioned name and the
-    bare name. Keywords of a rule are alternatives, so one rule is listed once per keyword.
+    The signatures come first. Then per license its identifier after the SPDX mark, and per name a
+    grant, a versioned name and the bare name. Keywords of a rule are alternatives, so one rule is
+    listed once per keyword. A label that ends in ``*`` takes the version the match ends with.
     """
     out = []
 
@@ -137,25 +123,32 @@ def rules() -> list[tuple[int, str, int, str, str]]:
         for key in keys.split("|"):
             out.append((len(out), label, priority, key, pattern))
 
+    for label, priority, key, signature in SIGNATURES:
+        add(label, priority, key, NO_WORD_BEFORE + signature.replace(" ", "(?:" + GAP + ")") + NO_WORD_AFTER)
     for label, spdx, names, keys in LICENSES:
-        add(label, 3, "spdx", r"spdx-license-identifier:[ \t]*" + re.escape(spdx)
+        add(spdx, 3, "spdx", r"spdx-license-identifier:[ \t]*" + re.escape(spdx)
             + r"(?:-only|-or-later|\+)?(?![a-z0-9.\-])")
         for name in names:
             own = [k for k in keys.split("|") if k in name] or [max(name.split(), key=len)]
-            body = r"(?<![a-z0-9])" + _words(name)
-            add(label, 3, own[0], _words("licensed under the") + GAP + _words(name) + r"(?![a-z0-9])")
+            body = NO_WORD_BEFORE + _words(name)
+            add(label, 3, own[0], _words("licensed under the") + GAP + _words(name) + NO_WORD_AFTER)
             add(label, 2, own[0], r"(?:released|distributed|available|provided|published)" + GAP
                 + _words("under the") + GAP + "(?:" + _words("terms of the") + GAP + ")?"
-                + _words(name) + r"(?![a-z0-9])")
-            add(label, 2, own[0], body + r"[, ]{1,3}(?:version |ver\.? |v\.?)?[0-9]+(?:\.[0-9]+){0,2}")
-            add(label, 1, own[0], body + r"(?![a-z0-9])")
-    for label, sentence in NOTICES:
-        key = max((w for w in sentence.split()), key=len)
-        weak = len(sentence.split()) < 4
-        add(label, 0 if weak else 2, key, r"(?<![a-z0-9])" + _words(sentence) + r"(?![a-z0-9])")
+                + _words(name) + NO_WORD_AFTER)
+            add(label + "-*", 3, own[0],
+                body + r"[, ]{1,3}(?:version |ver\.? |v\.?)?[0-9]+(?:\.[0-9]+){0,2}" + NO_WORD_AFTER)
+            add(label, 1, own[0], body + NO_WORD_AFTER)
     return out
 
 
+def _label(label: Column, match: Column) -> Column:
+    """The label of a detection: ``gpl-*`` and a match that ends with 3 is gpl-3.0."""
+    minor = F.regexp_extract(match, VERSION, 2)
+    version = F.concat(F.regexp_extract(match, VERSION, 1), F.when(minor == "", ".0").otherwise(minor))
+    return F.when(F.endswith(label, F.lit("*")), F.concat(F.rtrim(label, F.lit("*")), version)) \
+        .otherwise(label)
+
+
 def gate(low: Column) -> Column:
     """Whether any rule or base phrase can match."""
     found = low.rlike(GATE_PATTERN)
@@ -181,16 +174,17 @@ def _spans(low: Column, rule: Column) -> Column:
     matches = F.regexp_extract_all(low, rule["pattern"], F.lit(0))
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"),
                          matches.alias("match"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
+    ends = F.transform(pairs, lambda p: (F.length(p["gap"]) + F.length(p["match"])).cast("int"))
+    before = running(ends, F.lit(0), "int", lambda at, n: at + n)
 
-    def step(acc, p):
-        start, size = acc["at"] + F.length(p["gap"]), F.length(p["match"])
-        return F.struct((start + size).alias("at"), F.concat(acc["out"], F.array(F.struct(
-            start.alias("start"), (-size - start).alias("back"), (-rule["priority"]).alias("weak"),
-            rule["rule"].alias("rule"), rule["label"].alias("label"),
-            rule["priority"].alias("priority"), size.alias("length")))).alias("out"))
+    def found(p, at):
+        start, size = at + F.length(p["gap"]), F.length(p["match"])
+        return F.struct(start.alias("start"), (-size - start).alias("back"),
+                        (-rule["priority"]).alias("weak"), rule["rule"].alias("rule"),
+                        _label(rule["label"], p["match"]).alias("label"),
+                        rule["priority"].alias("priority"), size.alias("length"))
 
-    return F.aggregate(pairs, state, step)["out"]
+    return F.zip_with(pairs, before, found).cast(_FOUND)
 
 
 def _suppressed(found: Column) -> Column:
@@ -200,20 +194,21 @@ def _suppressed(found: Column) -> Column:
     contains; so the furthest end so far, per priority, decides in one sweep.
     """
     levels = sorted(CONFIDENCE)
-    state = F.struct(*[F.lit(-1).alias(f"end{p}") for p in levels],
-                     F.array().cast(_FOUND).alias("out"))
+    kind = "struct<" + ",".join(f"end{p}:int" for p in levels) + ">"
+
+    def further(ends, d):
+        return F.struct(*[F.when(d["priority"] >= p, F.greatest(ends[f"end{p}"], d["start"] + d["length"]))
+                          .otherwise(ends[f"end{p}"]).alias(f"end{p}") for p in levels])
 
-    def step(acc, d):
-        end = d["start"] + d["length"]
-        ends = [F.when(d["priority"] >= p, F.greatest(acc[f"end{p}"], end))
-                .otherwise(acc[f"end{p}"]).alias(f"end{p}") for p in levels]
+    def open_one(d, ends):
         before = F.lit(-1)
         for p in levels:
-            before = F.when(d["priority"] == p, acc[f"end{p}"]).otherwise(before)
-        return F.struct(*ends, F.when(end <= before, acc["out"]).otherwise(
-            F.concat(acc["out"], F.array(d))).alias("out"))
+            before = F.when(d["priority"] == p, ends[f"end{p}"]).otherwise(before)
+        return F.when(d["start"] + d["length"] > before, d)
 
-    return F.aggregate(F.sort_array(found), state, step)["out"]
+    order = F.sort_array(found)
+    ends = running(order, F.struct(*[F.lit(-1).alias(f"end{p}") for p in levels]), kind, further)
+    return F.array_compact(F.zip_with(order, ends, open_one))
 
 
 def detections(low: Column) -> Column:

@@ -2,12 +2,15 @@
 
 import random
 import re
+import time
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.llm import chat, decontaminate, licenses, linedup
+from shelfmark.llm.common import running
+from shelfmark.llm.license_rules import SIGNATURES
 from tests.llm.helpers import ascii_lower, documents, leaks, tokens
 
 
@@ -138,13 +141,48 @@ def test_leaks_empty_tables_and_clashing_columns(spark):
     assert [r.item_ids for r in decontaminate.contamination(docs, bench).collect()] == [[5]]
 
 
+def versioned(label, match):
+    """gpl-* and a match that ends with 3 or 3.0.1: gpl-3.0."""
+    if not label.endswith("*"):
+        return label
+    number = re.search(r"[0-9.]+$", match).group().strip(".").split(".")
+    return label[:-1] + ".".join((number + ["0"])[:2])
+
+
+def samples(pattern, r):
+    """A random text that the pattern matches, from its syntax tree."""
+    def one(part):
+        kind, value = str(part[0]), part[1]
+        if kind == "LITERAL":
+            return chr(value)
+        if kind == "ANY":
+            return r.choice("ab ")
+        if kind == "IN":
+            first = value[0]
+            return chr(first[1] if str(first[0]) == "LITERAL" else r.randint(*first[1])) \
+                if str(first[0]) != "RANGE" or first[1][0] else " "
+        if kind == "BRANCH":
+            return all_of(r.choice(value[1]))
+        if kind == "SUBPATTERN":
+            return all_of(value[3])
+        if kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            return "".join(all_of(value[2]) for _ in range(r.randint(value[0], min(value[1], value[0] + 1))))
+        assert kind == "ASSERT_NOT", kind
+        return ""
+
+    def all_of(parts):
+        return "".join(one(x) for x in parts)
+    return all_of(re._parser.parse(pattern))
+
+
 def scan_plainly(text):
     """Base places and surviving detections by Python regular expressions."""
     low = ascii_lower(text or "")
     w = re.findall(licenses.WORD, low)
     base = sorted((i, label) for phrase, label in licenses.BASE_PHRASES for i in range(len(w))
                   if w[i:i + len(phrase.split())] == phrase.split())
-    found = {(m.start(), m.end(), p, n, label) for n, label, p, key, pattern in licenses.rules()
+    found = {(m.start(), m.end(), p, n, versioned(label, m.group()))
+             for n, label, p, key, pattern in licenses.rules()
              if key in low for m in re.finditer(pattern, low)}
     kept = [d for d in found if not any(
         o is not d and o[0] <= d[0] and o[1] >= d[1] and o[2] >= d[2]
@@ -179,14 +217,62 @@ def test_licenses_against_regular_expressions(spark):
 
 def test_license_rules(spark):
     rules = licenses.rules()
-    assert len(rules) > 300
+    assert len(rules) > 300 and len(SIGNATURES) > 150
+    r = random.Random(3)
     for n, label, priority, key, pattern in rules:
         re.compile(pattern)
         assert priority in licenses.CONFIDENCE
-    names = [x for line in licenses.LICENSES for x in line[2]] + [x for _, x in licenses.NOTICES]
-    for name in names:  # every name and notice opens the gate and holds a keyword of its rules
-        assert any(g in name for g in licenses.GATES) or "cc by" in name, name
-        assert any(key in name for *_, key, pattern in rules if re.search(pattern, name)), name
+        for _ in range(30):  # whatever a rule matches holds its keyword and opens the gate
+            text = samples(pattern, r)
+            assert re.search(pattern, text), (pattern, text)
+            assert key in text and (any(g in text for g in licenses.GATES)
+                                    or re.search(licenses.GATE_PATTERN, text)), (pattern, text)
+
+
+def test_license_versions_reach_the_labels(spark):
+    texts = {"GNU GPL v3": "gpl-3.0", "Mozilla Public License, Version 1.1": "mpl-1.1",
+             "the 3-clause BSD license": "bsd-3-clause", "All rights reserved.": "copyright",
+             "either version 2 of the License, or (at your option) any later version": "",
+             "SPDX-License-Identifier: BSD-2-Clause": "bsd-2-clause",
+             "the GNU General Public License as published by the Free Software Foundation; either "
+             "version 2 of the License, or (at your option) any later version": "gpl,gpl-2.0-or-later"}
+    out = licenses.summary(licenses.scan(documents(spark, list(texts)))).collect()
+    assert {r.doc_id: r.labels for r in out} == dict(enumerate(texts.values()))
+
+
+def test_licenses_tables_without_rows_and_other_columns(spark):
+    assert licenses.summary(licenses.scan(documents(spark, []))).count() == 0
+    df = spark.createDataFrame([(1, "MIT License", "a", "b")] * 2 + [(None, None, "c", "d")],
+                               "doc_id bigint, text string, low string, detections string")
+    out = licenses.summary(licenses.scan(df)).collect()
+    assert sorted((str(r.doc_id), r.n_base, r.labels) for r in out) == [
+        ("1", 1, "mit"), ("1", 1, "mit"), ("None", 0, "")]
+
+
+def test_running_sums_are_whole_and_linear(spark):
+    """Folds over empty, short and long arrays, across the limits of the pieces."""
+    sizes = [0, 1, 255, 256, 257, 1000, 40000]
+    df = spark.createDataFrame([(n, list(range(n))) for n in sizes] + [(-1, None)], "n int, a array<int>")
+    out = {r.n: r.s for r in df.select("n", running(
+        F.col("a"), F.lit(0).cast("bigint"), "bigint", lambda s, x: s + x).alias("s")).collect()}
+    assert out[-1] is None
+    for n in sizes:
+        assert out[n] == [i * (i - 1) // 2 for i in range(n)]
+
+
+def test_chat_long_conversation_and_other_columns(spark):
+    """32,000 turns take about four times as long as 8,000; the roles and texts come back."""
+    seconds = {}
+    for n in (8000, 8000, 32000):  # the first one warms up
+        df = spark.range(n).selectExpr("1 AS conv_id", "id AS turn", "'a' AS formatted", "'b' AS turns",
+                                       "if(id % 2 = 0, 'user', 'assistant') AS role",
+                                       "concat('text ', id, '</turn>') AS text")
+        begin = time.time()
+        row = chat.read_back(chat.format_conversations(df)).first()
+        seconds[n] = time.time() - begin
+        assert row.n_turns == n
+        assert row.loss_chars == sum(len(f"text {i}</turn>") for i in range(1, n, 2))
+    assert seconds[32000] < 7 * seconds[8000] + 2
 
 
 def chats(spark, rows):
