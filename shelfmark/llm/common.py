@@ -39,6 +39,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def running(items: Column, zero: Column, kind: str, fold: Callable[[Column, Column], Column]) -> Column:
     """array<kind>: for each item the fold over all items before it; NULL for a NULL array.
 
@@ -53,10 +58,15 @@ def running(items: Column, zero: Column, kind: str, fold: Callable[[Column, Colu
             lambda acc, x: F.struct(step(acc["at"], x).cast(kind).alias("at"), F.concat(
                 acc["out"], F.array(acc["at"])).alias("out")).cast(states))["out"]
 
-    count = F.greatest(F.ceil(F.size(items) / PIECE), F.lit(1)).cast("int")
-    pieces = F.transform(F.sequence(F.lit(0), count - 1),
-                         lambda k: F.slice(items, k * PIECE + 1, F.lit(PIECE)))
-    pieces = F.when(items.isNotNull(), pieces)
-    starts = scan(pieces, zero, lambda at, piece: F.aggregate(
-        piece, at, lambda a, x: fold(a, x).cast(kind)))
-    return F.flatten(F.zip_with(pieces, starts, lambda piece, at: scan(piece, at, fold)))
+    def pieces(held: Column) -> Column:
+        count = F.greatest(F.ceil(F.size(held) / PIECE), F.lit(1)).cast("int")
+        cut = F.transform(F.sequence(F.lit(0), count - 1),
+                          lambda k: F.slice(held, k * PIECE + 1, F.lit(PIECE)))
+        return F.when(held.isNotNull(), cut)
+
+    def folds(held: Column) -> Column:
+        starts = scan(held, zero, lambda at, piece: F.aggregate(
+            piece, at, lambda a, x: fold(a, x).cast(kind)))
+        return F.flatten(F.zip_with(held, starts, lambda piece, at: scan(piece, at, fold)))
+
+    return bound(bound(items, pieces), folds)

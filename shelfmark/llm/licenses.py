@@ -1,9 +1,9 @@
 r"""License scan with ordered signature rules.
 
-Rules are regular expressions, each with a keyword, a priority and a label: hand-written signatures of
-license texts, grants and headers (``license_rules``), and per license name the ways in which it is
-named. Labels hold the version where the wording tells it, else the family. A text that holds none of a few gate words is passed over; of the others, only
-rules whose keyword occurs are tried. Detections that lie within another one of the same or a higher
+Rules are regular expressions, each with a keyword, a priority and a label: hand-written signatures
+of license texts, grants and headers (``license_rules``), and per license name the ways in which it
+is named. Labels hold the version where the wording tells it, else the family. A text that holds
+none of a few gate words is passed over; of the others, only rules whose keyword occurs are tried. Detections that lie within another one of the same or a higher
 priority are suppressed; of equal intervals the higher priority, then the earlier rule, stays.
 
 Besides, base phrases are found as consecutive words, at all places. Column expressions only, one
@@ -20,7 +20,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.llm.common import ascii_lower, running
+from shelfmark.llm.common import ascii_lower, bound, running
 from shelfmark.llm.license_rules import SIGNATURES
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -170,12 +170,7 @@ _FOUND = ("array<struct<start:int,back:int,weak:int,rule:int,label:string,priori
 
 def _spans(low: Column, rule: Column) -> Column:
     """All matches of a rule with their positions: gaps and matches alternate."""
-    gaps = F.split(low, rule["pattern"], -1)
-    matches = F.regexp_extract_all(low, rule["pattern"], F.lit(0))
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"),
-                         matches.alias("match"))
-    ends = F.transform(pairs, lambda p: (F.length(p["gap"]) + F.length(p["match"])).cast("int"))
-    before = running(ends, F.lit(0), "int", lambda at, n: at + n)
+    none = F.array().cast(_FOUND)
 
     def found(p, at):
         start, size = at + F.length(p["gap"]), F.length(p["match"])
@@ -184,7 +179,18 @@ def _spans(low: Column, rule: Column) -> Column:
                         _label(rule["label"], p["match"]).alias("label"),
                         rule["priority"].alias("priority"), size.alias("length"))
 
-    return F.zip_with(pairs, before, found).cast(_FOUND)
+    def placed(pairs):
+        sizes = F.transform(pairs, lambda p: (F.length(p["gap"]) + F.length(p["match"])).cast("int"))
+        before = running(sizes, F.lit(0), "int", lambda at, n: at + n)
+        return F.zip_with(pairs, before, found).cast(_FOUND)
+
+    def spans(matches):  # most rules whose keyword occurs match nothing: one look at the text
+        gaps = F.split(low, rule["pattern"], -1)
+        pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("gap"),
+                             matches.alias("match"))
+        return F.when(F.size(matches) == 0, none).otherwise(bound(pairs, placed))
+
+    return bound(F.regexp_extract_all(low, rule["pattern"], F.lit(0)), spans)
 
 
 def _suppressed(found: Column) -> Column:
@@ -206,9 +212,9 @@ def _suppressed(found: Column) -> Column:
             before = F.when(d["priority"] == p, ends[f"end{p}"]).otherwise(before)
         return F.when(d["start"] + d["length"] > before, d)
 
-    order = F.sort_array(found)
-    ends = running(order, F.struct(*[F.lit(-1).alias(f"end{p}") for p in levels]), kind, further)
-    return F.array_compact(F.zip_with(order, ends, open_one))
+    none_yet = F.struct(*[F.lit(-1).alias(f"end{p}") for p in levels])
+    return bound(F.sort_array(found), lambda order: F.array_compact(F.zip_with(
+        order, running(order, none_yet, kind, further), open_one)))
 
 
 def detections(low: Column) -> Column:
