@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.functions.clean import to_int
+from shelfmark.session import by_merge
 
 
 def filter_updates(entries: DataFrame) -> DataFrame:
@@ -34,11 +35,11 @@ def apply_filters(products: DataFrame, entries: DataFrame) -> DataFrame:
 
 def set_filters(products: DataFrame, updates: DataFrame) -> DataFrame:
     """The same with one row ``(product_id, new_filters)`` per id."""
-    joined = products.join(updates, "product_id", "left")
+    joined = products.join(by_merge(updates), "product_id", "left")
     return joined.withColumn("filters_json", F.coalesce("new_filters", "filters_json")).select(
         *products.columns)
 
 
 def updated_count(products: DataFrame, entries: DataFrame) -> int:
     """Number of products that an update touches."""
-    return products.join(filter_updates(entries), "product_id", "left_semi").count()
+    return products.join(by_merge(filter_updates(entries)), "product_id", "left_semi").count()

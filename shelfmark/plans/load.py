@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.operators.update import filter_updates, rejected_updates, set_filters
-from shelfmark.session import stage
+from shelfmark.session import by_merge, stage
 from shelfmark.sources.filters import read_filter_document
 from shelfmark.sources.tables import read_table, write_table
 from shelfmark.sources.versions import read_version, update_table
@@ -35,8 +35,8 @@ def load_filters(spark: SparkSession, document: str, table: str, out: str,
     products = read_table(spark, table)
     written = write_table(set_filters(products, updates), out)
     ids = products.select("product_id")
-    return Loaded(written, ids.join(updates, "product_id", "left_semi").count(),
-                  updates.join(ids, "product_id", "left_anti").count(),
+    return Loaded(written, ids.join(by_merge(updates), "product_id", "left_semi").count(),
+                  updates.join(by_merge(ids), "product_id", "left_anti").count(),
                   rejected_updates(entries).count())
 
 
@@ -49,7 +49,7 @@ def load_version(spark: SparkSession, document: str, root: str, lines: bool = Fa
     entries = stage(read_filter_document(spark, document, lines), "entries")
     updates = stage(filter_updates(entries), "updates")
     ids = read_version(spark, root).select("product_id")
-    unknown = updates.join(ids, "product_id", "left_anti").count()
-    updated = ids.join(updates, "product_id", "left_semi").count()
+    unknown = updates.join(by_merge(ids), "product_id", "left_anti").count()
+    updated = ids.join(by_merge(updates), "product_id", "left_semi").count()
     table = update_table(spark, root, updates, "product_id", lambda rows: set_filters(rows, updates))
     return Loaded(table, updated, unknown, rejected_updates(entries).count())

@@ -18,6 +18,8 @@ from collections.abc import Callable
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from shelfmark.session import by_merge
+
 
 class Conflict(RuntimeError):
     """Another writer has committed the version first; run again on top of it."""
@@ -114,7 +116,7 @@ def update_table(spark: SparkSession, root: str, keys: DataFrame, key: str,
     schema, files = _files(spark, root, number)
     named = {f.rsplit("/", 1)[1]: f for f in files}  # names hold the id of the job that wrote them
     hit = (_table(spark, schema, files).select(key, F.col("_metadata.file_name").alias("file"))
-           .join(keys.select(key), key, "left_semi").select("file").distinct()) if files else None
+           .join(by_merge(keys.select(key)), key, "left_semi").select("file").distinct()) if files else None
     touched = {named[r.file] for r in hit.collect()} if files else set()
     if not touched:
         return read_version(spark, root, number)
