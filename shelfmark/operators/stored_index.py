@@ -2,8 +2,10 @@
 
 Postings of a token are cut into blocks of ROW_SPAN row ids, so no list grows with the table however
 common its token is. A block is delta-coded: steps from row to row, and from place to place inside a
-row. ``blocks`` is bucketed by (field, token, block), so a lookup joins it without moving it; ``skips``
-has one small row per block (which rows, how many postings), from which lookups choose their blocks.
+row. Texts are moved to the task of their rows' block before they are cut into postings, so blocks are
+built where the postings arise, and what is moved after that is coded. ``blocks`` is bucketed by
+(field, token, block), so a lookup joins it without moving it; ``skips`` has one small row per block
+(which rows, how many postings), from which lookups choose their blocks.
 
 Row ids are whole numbers, as the numbering of the product table gives them.
 """
@@ -16,14 +18,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.text import padded_tokens
-from shelfmark.operators.phrases import FIELD, phrase_key, postings
+from shelfmark.operators.phrases import FIELD, phrase_key
 from shelfmark.session import stage
 
 ROW_SPAN = 4096
 KEY = [FIELD, "token", "block"]
+_BLOCK = ("field string, token string, block bigint, first_row bigint, last_row bigint, "
+          "documents bigint, rows array<int>, places array<int>")
 _PLACE = "field string, token string, row_id bigint, pos int"
 
 
@@ -41,22 +46,40 @@ def block_of(row_id: Column) -> Column:
     return F.floor(row_id / F.lit(ROW_SPAN)).cast("bigint")
 
 
-def encode_blocks(index: DataFrame) -> DataFrame:
-    """``(field, token, block, first_row, last_row, documents, rows, places)`` of postings."""
-    grouped = (index.select(FIELD, "token", block_of(F.col("row_id")).alias("block"),
-                            F.col("row_id").cast("bigint").alias("row_id"), "pos")
-               .groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("row_id", "pos"))).alias("p"),
-                                  F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"),
-                                  F.count_distinct("row_id").alias("documents")))
-    # the posting before each one; the first follows its own row at place 0
-    before = F.concat(F.array(F.struct(F.col("first_row").alias("row_id"), F.lit(0).alias("pos"))),
-                      F.slice("p", F.lit(1), F.size("p") - 1))
-    step = F.zip_with(F.col("p"), before, lambda x, b: F.struct(
-        (x["row_id"] - b["row_id"]).cast("int").alias("row"),
-        F.when(x["row_id"] == b["row_id"], x["pos"] - b["pos"]).otherwise(x["pos"]).alias("pos")))
-    return grouped.withColumn("step", step).select(
-        *KEY, "first_row", "last_row", "documents", F.col("step.row").alias("rows"),
-        F.col("step.pos").alias("places"))
+def _coded(texts: pa.Table) -> pa.Table:
+    """Coded postings of the texts of one field and block, which are ROW_SPAN rows at most."""
+    texts = texts.combine_chunks()
+    body = texts["body"].cast(pa.large_string()).combine_chunks()
+    lists = pc.split_pattern(pc.utf8_trim(body, " "), " ")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    words = lists.flatten().dictionary_encode()
+    token = words.indices.to_numpy()
+    row = np.repeat(texts["row_id"].to_numpy(), sizes)
+    place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((place, row, token))
+    token, row, place = token[order], row[order], place[order]
+    head = np.r_[True, token[1:] != token[:-1]]
+    new_row = head | np.r_[True, row[1:] != row[:-1]]
+    # steps from the posting before; the first of a token follows its own row at place 0
+    row_step = np.where(head, 0, np.diff(row, prepend=row[:1]))
+    place_step = np.where(new_row, place, np.diff(place, prepend=0))
+    at = np.flatnonzero(head)
+    ends = np.r_[at, len(token)]
+    cut = lambda steps: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(steps, pa.int32()))
+    same = pa.array(np.zeros(len(at), np.int32))
+    return pa.table([
+        texts[FIELD].combine_chunks().take(same), words.dictionary.take(pa.array(token[at])).cast(pa.string()),
+        texts["block"].combine_chunks().take(same), pa.array(row[at]), pa.array(row[ends[1:] - 1]),
+        pa.array(np.add.reduceat(new_row.astype(np.int64), at)), cut(row_step), cut(place_step)],
+        [*KEY, "first_row", "last_row", "documents", "rows", "places"])
+
+
+def encode_blocks(bodies: DataFrame) -> DataFrame:
+    """``(field, token, block, first_row, last_row, documents, rows, places)`` of the postings of
+    ``bodies``; the texts are shuffled, the postings are not."""
+    texts = bodies.select(FIELD, block_of(F.col("row_id")).alias("block"),
+                          F.col("row_id").cast("bigint").alias("row_id"), "body")
+    return texts.groupBy(FIELD, "block").applyInArrow(_coded, _BLOCK)
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
@@ -94,7 +117,7 @@ def store_index(bodies: DataFrame, folder: str, buckets: int | None = None) -> S
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     mark = uuid.uuid4().hex
     names = StoredIndex(f"index_blocks_{mark}", f"index_skips_{mark}", spark)
-    encoded = encode_blocks(postings(bodies)).repartition(buckets, *KEY)
+    encoded = encode_blocks(bodies).repartition(buckets, *KEY)
     (encoded.write.bucketBy(buckets, *KEY).sortBy(*KEY).option("path", f"{folder}/blocks")
      .saveAsTable(names.blocks))
     (spark.table(names.blocks).select(*KEY, "first_row", "last_row", "documents",
