@@ -69,3 +69,13 @@ def test_updates(spark, products, tmp_path):
     create_table(products, root, "product_id", 2)
     assert update_table(spark, root, updates, "product_id", change).filter("filters_json = '[1]'").count() == 3000
     assert not broadcast_keys(seen[0])
+
+
+def test_whole_flows(products):
+    """Bands, lists, unique and range filters, each as a query runs it."""
+    interest = products_of_interest(products, products.select(F.col("parent_asin").alias("product_id")))
+    every = flt.all_filters(products, interest, KINDS)
+    unique = flt.unique_filters(every)
+    flows = [flt.product_bands(unique), flt.filter_lists(interest, every), unique,
+             flt.range_filters(products, interest, 3000, KINDS)]
+    assert all(broadcast_keys(df) <= BOUNDED for df in flows)
