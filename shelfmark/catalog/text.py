@@ -8,9 +8,9 @@ from shelfmark.catalog.filters import _sql_entities, _sql_phrase
 from shelfmark.catalog.standins import PRODUCTS, SQL_TOKENS, products, table, texts
 from shelfmark.functions.text import (NO_TOKENS, entity_phrases, json_leaves, padded, strip,
                                       tokens)
-from shelfmark.operators.phrases import phrase_counts, phrase_matches, postings, search_bodies, \
-    token_stats
-from shelfmark.operators.stored_index import decode_blocks, lookup, store_index
+from shelfmark.operators.phrases import phrase_counts, phrase_matches, postings, search_bodies
+from shelfmark.operators.stored_index import (block_stats, decode_blocks, encode_blocks, lookup,
+                                              store_index)
 from shelfmark.session import new_folder, stage
 from shelfmark.sources.tables import write_table
 
@@ -33,10 +33,11 @@ def _document_bodies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf: str) -> DataFrame:
-    """The inverted index, written by field and read back, with documents per token."""
-    written = write_table(postings(_document_bodies(spark, sf)), new_folder(spark, "postings"),
+    """The inverted index in coded blocks, written by field and read back, with documents per
+    token."""
+    written = write_table(encode_blocks(_document_bodies(spark, sf)), new_folder(spark, "postings"),
                           partition_by=["field"])
-    return token_stats(written)
+    return block_stats(written)
 
 
 _INDEX = f"""

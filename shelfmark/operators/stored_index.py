@@ -111,6 +111,13 @@ def decode_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select(FIELD, "token", "first_row", "rows", "places").mapInArrow(run, _PLACE)
 
 
+def block_stats(blocks: DataFrame) -> DataFrame:
+    """Documents and occurrences per token of encoded blocks. A row lies in one block of a token, so
+    blocks add up, and only one row per token and task is moved."""
+    return blocks.groupBy(FIELD, "token").agg(F.sum("documents").alias("documents"),
+                                              F.sum(F.size("rows").cast("bigint")).alias("occurrences"))
+
+
 def store_index(bodies: DataFrame, folder: str, buckets: int | None = None) -> StoredIndex:
     """Write the index of ``bodies`` below ``folder`` as two tables of the session's catalogue."""
     spark = bodies.sparkSession
