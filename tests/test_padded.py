@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import (NO_TOKENS, TOKEN_CHARACTER, padded, padded_text, tokens)
-from shelfmark.operators.phrases import postings, search_bodies, token_stats
+from shelfmark.operators.phrases import describe_phrases, postings, search_bodies, token_stats
 from shelfmark.operators.stored_index import block_stats, encode_blocks
 
 
@@ -33,3 +33,9 @@ def test_statistics_of_blocks(spark):
     plain = token_stats(postings(bodies))
     assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, plain.collect()))
     assert "row_id" not in stats._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInArrow")[0]
+
+
+def test_phrases_are_described_once(spark):
+    listed = spark.createDataFrame([("f", " a b ")] * 50 + [("g", " a b ")], "field string, phrase string")
+    found = describe_phrases(listed)
+    assert found.count() == 2 and {r.field for r in found.collect()} == {"f", "g"}
