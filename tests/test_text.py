@@ -177,3 +177,32 @@ def test_candidates_stay_near_the_matches(spark):
     anchors = phrases.phrase_anchors(index, described)
     tried = anchors.agg(F.sum("documents")).first()[0]
     assert tried <= 2 * phrases.ids_in(index, anchors).count()
+
+
+def test_text_filters_move_totals(spark, monkeypatch):
+    """A phrase that every text holds is one row per step of texts, not one per text; long phrases
+    and those of another row of the same key are found beside it."""
+    from shelfmark.operators import phrases
+    long = " ".join(f"word{i}" for i in range(20))
+    rows = [(i, f"K{i}", "Big Lamp", '["Big Lamp"]') for i in range(300)]
+    rows += [(900, "M", long, '["x\\nRare Thing"]'), (901, "M", f"a {long} b", '["Rare Thing"]'),
+             (902, "N", "plain", '["x\\nRare Thing"]')]
+    products = spark.createDataFrame(
+        rows, "product_id long, parent_asin string, product_title string, features_json string")
+    written, stage = {}, phrases.stage
+
+    def counted(df, label, *options, **more):
+        out = stage(df, label, *options, **more)
+        written[label] = max(out.count(), written.get(label, 0))
+        return out
+
+    monkeypatch.setattr(phrases, "stage", counted)
+    kinds = {"product_title": "NER_contains", "features_json": "json_contains"}
+    found = flt.text_filters(products, products, len(rows), kinds)
+    got = {(r.product_id, r.filter_column, r.value, r.match_count) for r in found.collect()}
+    want = {(i, c, "Big Lamp", 300) for i in range(300) for c in kinds}
+    want |= {(900, "product_title", long, 2), (901, "product_title", f"a {long} b", 1),
+             (902, "product_title", "plain", 1), (900, "features_json", "Rare Thing", 1),
+             (901, "features_json", "Rare Thing", 1)}
+    assert got == want
+    assert max(written.values()) < 100
